@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,18 +34,27 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return flat.select(chosen)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that all executors share, with its lineage cut.
-
-    The folder is the one in ``spark.checkpoint.dir``. Where none is set, as in
-    tests on one machine, a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share; a temporary one where none is set, as in tests on one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def spooled(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder, and read from there: smaller than a checkpoint for many rows."""
+    path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
