@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words: space and U+0009 to U+000D, nothing else.
@@ -63,3 +63,17 @@ def width(spark: SparkSession) -> int:
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are at most ``most``; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def fold(id_: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def thinned(rows: DataFrame, most: int, seed: int, count: int | None = None) -> DataFrame:
+    """About ``most`` of the rows (all, if there are fewer), chosen by a seeded hash of all columns, so reruns agree; twice ``most`` at the utmost."""
+    count = rows.count() if count is None else count
+    if count <= most:
+        return rows
+    chance = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) < int(most / count * (1 << 30))
+    return rows.filter(chance).limit(2 * most)
