@@ -6,6 +6,7 @@ import importlib
 
 #: Query name, module and function; the SQL is the module's OPn_SQL, if it has one.
 OPERATORS = [
+    ("op3_chat", "chat"),
     ("op1_search", "search"),
     ("op5_extraction", "extraction"),
     ("op4_language", "language"),
