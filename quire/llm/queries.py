@@ -6,6 +6,7 @@ import importlib
 
 #: Query name, module and function; the SQL is the module's OPn_SQL, if it has one.
 OPERATORS = [
+    ("op10_lm", "lm"),
     ("op3_chat", "chat"),
     ("op1_search", "search"),
     ("op5_extraction", "extraction"),
@@ -20,7 +21,7 @@ OPERATORS = [
 
 def queries() -> dict:
     found = {name: getattr(importlib.import_module(f"quire.llm.{module}"), name) for name, module in OPERATORS}
-    return found
+    return found | {"pipeline": importlib.import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         sql = getattr(importlib.import_module(f"quire.llm.{module}"), f"{name.split('_')[0].upper()}_SQL", None)
         if sql:
             found[name] = sql
-    return found
+    pipeline = importlib.import_module("corpus_pipeline").ORACLE_SQL
+    return found | ({"pipeline": pipeline} if pipeline else {})

@@ -265,5 +265,34 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.drop("text") if digest_only else out
 
 
+def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeated strings of ``length`` bytes cut out of their texts; see ``without_repeats``.
+
+    All rows and columns stay; ``chars_col``, if there is one, is set to the new number of characters. A null text stays null.
+    """
+    names = docs.columns
+    flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at, own = names.index(text_col), f"_{names.index(text_col)}"
+    flat = flat.withColumn("key", F.xxhash64(f"_{names.index(id_col)}", own))
+    found = spooled(repeats(flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text")), length).withColumnRenamed("key", "_key"))
+    joined = flat.join(broadcast_if(found, found.count(), BROADCAST_ROWS), flat["key"] == found["_key"], "left").drop("key", "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+                if ranges:
+                    text, kept, last = texts[i].encode(), [], 0
+                    for lo, hi in spans(ranges, length, len(text)):
+                        kept.append(text[last:lo])
+                        last = hi
+                    texts[i] = b"".join([*kept, text[last:]]).decode("utf-8", "ignore")
+            yield batch.set_column(at, own, pa.array(texts, batch.column(at).type)).select(names_in)
+
+    names_in = [f"_{i}" for i in range(len(names))]
+    made = joined.mapInArrow(run, flat.drop("key").schema).toDF(*names)
+    return made.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col in names else made
+
+
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), digest_only=True).drop("key", "spans")
