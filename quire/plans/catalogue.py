@@ -2,25 +2,316 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.functions import codecs, crypto, flags, formats, text
+from quire.operators import layout, relational
+from quire.sources import documents as pdf
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of a table reader; its name is the query's."""
+
+    def register(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[build.__name__] = run
+        if sql:
+            SQL[build.__name__] = sql
+        return build
+
+    return register
+
+
+@query("""SELECT min(k) AS start, count(*) AS n FROM (SELECT k, k - row_number() OVER (ORDER BY k) AS g FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 25)) GROUP BY g""")
+def q01_islands(t):
+    return relational.islands(t("lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("k")), "k")
+
+
+@query("""SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def q02_latest_version(t):
+    return relational.latest(t("events").select("user_id", "event_id", "ts", "event_type"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+
+
+@query("""SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM documents""")
+def q03_byte_offsets(t):
+    return relational.running_offset(t("documents").select("doc_id", "n_chars"), "n_chars", ["doc_id"])
+
+
+@query("""SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 10, '0') || ' ' || lpad((o_custkey % 65536)::VARCHAR, 5, '0') || CASE WHEN o_orderstatus = 'O' THEN ' n' ELSE ' f' END AS line FROM orders""")
+def q04_xref_line(t):
+    return t("orders").select("o_orderkey", relational.xref_line(F.col("o_orderkey"), F.col("o_custkey") % 65536, F.col("o_orderstatus") == "O").alias("line"))
+
+
+@query("""SELECT o_orderkey, '01' || lpad(upper(to_hex(o_orderkey)), 8, '0') || lpad(upper(to_hex(o_custkey % 65536)), 4, '0') AS record FROM orders""")
+def q05_xref_record(t):
+    return t("orders").select("o_orderkey", relational.fixed_width([(F.lit(1), 1), (F.col("o_orderkey"), 4), (F.col("o_custkey") % 65536, 2)]).alias("record"))
+
+
+@query("""SELECT ((rn - 1) // 100)::BIGINT AS batch, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) GROUP BY 1""")
+def q06_batches(t):
+    rows = t("part").select("p_partkey", F.row_number().over(W.orderBy("p_partkey")).alias("rn"))
+    return rows.groupBy(F.floor((F.col("rn") - 1) / 100).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+
+
+@query("""SELECT doc_id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def q07_priority_union(t):
+    first = t("labels").select("doc_id", F.lit("label").alias("origin"))
+    return relational.union_first(first, t("documents").select("doc_id", F.lit("document").alias("origin")), ["doc_id"])
+
+
+@query("""SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels""")
+def q08_missing_references(t):
+    return relational.missing(t("documents").select("doc_id"), t("labels").select("doc_id"), ["doc_id"])
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS us, strftime(o_orderdate, '%-d-%b-%y') AS short FROM orders""")
+def q09_printd(t):
+    when = F.col("o_orderdate")
+    return t("orders").select("o_orderkey", formats.printd("mm/dd/yyyy", when).alias("us"), formats.printd("d-mmm-yy", when).alias("short"))
+
+
+@query("""SELECT o_orderkey, format('{:,.2f}', round(o_totalprice::DECIMAL(18, 6), 2)::DECIMAL(18, 2)::DOUBLE) AS price FROM orders""")
+def q10_number_format(t):
+    return t("orders").select("o_orderkey", formats.number_format(F.col("o_totalprice").cast("decimal(18,6)"), 2).alias("price"))
+
+
+@query("""SELECT c_custkey, '(' || substr(d, 1, 3) || ') ' || substr(d, 4, 3) || '-' || substr(d, 7, 4) AS phone FROM (SELECT c_custkey, lpad((c_custkey * 7919 % 10000000000)::VARCHAR, 10, '5') AS d FROM customer)""")
+def q11_phone(t):
+    number = F.lpad((F.col("c_custkey") * 7919 % 10000000000).cast("string"), 10, "5")
+    return t("customer").select("c_custkey", formats.special_format(number, 2).alias("phone"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, (f & 1) <> 0 AS read_only, (f & 4096) <> 0 AS multiline, f | 2 AS required_set, f & ~4 AS no_export_cleared FROM (SELECT l_orderkey, l_linenumber, (l_partkey * 31 + l_suppkey) AS f FROM lineitem)""")
+def q12_flags(t):
+    f = F.col("l_partkey") * 31 + F.col("l_suppkey")
+    return t("lineitem").select("l_orderkey", "l_linenumber", flags.has(f, flags.FIELD["readOnly"]).alias("read_only"), flags.has(f, flags.FIELD["multiline"]).alias("multiline"), flags.with_flag(f, 2).alias("required_set"), flags.with_flag(f, 4, False).alias("no_export_cleared"))
+
+
+@query("""SELECT o_orderstatus, round(sum(o_totalprice::DECIMAL(20, 2)), 2)::DOUBLE AS total, min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) AS n FROM orders GROUP BY 1""")
+def q13_calculate(t):
+    price = F.col("o_totalprice")
+    return t("orders").groupBy("o_orderstatus").agg(relational.simple_calculate(price.cast("decimal(20,2)"), "SUM").cast("double").alias("total"), relational.simple_calculate(price, "MIN").alias("least"), relational.simple_calculate(price, "MAX").alias("most"), F.count(F.lit(1)).alias("n"))
+
+
+def pixels(t) -> DataFrame:
+    """(vec_id, i, x): each vector as a row of bytes."""
+    rows = t("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    return rows.select("vec_id", "i", F.pmod(F.floor(F.col("v").cast("double") * 1000), F.lit(256)).alias("x"))
+
+
+PIXELS = "px AS (SELECT vec_id, (i - 1)::INTEGER AS i, (((floor(v::DOUBLE * 1000)::BIGINT % 256) + 256) % 256)::BIGINT AS x FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"
+
+
+@query(f"""WITH {PIXELS} SELECT vec_id, i, ((x - coalesce(lag(x) OVER (PARTITION BY vec_id ORDER BY i), 0) + 256) % 256)::BIGINT AS y FROM px""")
+def q14_tiff_encode(t):
+    return pixels(t).select("vec_id", "i", relational.tiff_encode(F.col("x"), ["vec_id"], "i").alias("y"))
+
+
+@query(f"""WITH {PIXELS} SELECT vec_id, i, (sum(x) OVER (PARTITION BY vec_id ORDER BY i) % 256)::BIGINT AS y FROM px""")
+def q15_tiff_decode(t):
+    return pixels(t).select("vec_id", "i", relational.tiff_decode(F.col("x"), ["vec_id"], "i").alias("y"))
+
+
+@query(f"""WITH {PIXELS} SELECT vec_id, i, ((x - coalesce(lag(x) OVER (PARTITION BY i ORDER BY vec_id), 0) + 256) % 256)::BIGINT AS y FROM px""")
+def q16_png_up(t):
+    return pixels(t).select("vec_id", "i", relational.tiff_encode(F.col("x"), ["i"], "vec_id").alias("y"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?s)<title(?:\\s[^>]*)?>(.*?)</title>', 1) AS title FROM pages""")
+def q17_xml_content(t):
+    return t("pages").select("page_id", text.xml_content(F.col("html"), "title").alias("title"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;')) AS digest FROM pages""")
+def q18_xml_escape(t):
+    return t("pages").select("page_id", F.md5(text.xml_escape(F.col("html"))).alias("digest"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\\*\\*(.+?)\\*\\*', '\\1', 'g'), '__(.+?)__', '\\1', 'g'), '~~(.+?)~~', '\\1', 'g')) AS digest FROM documents""")
+def q19_markdown_plain(t):
+    return t("documents").select("doc_id", F.md5(text.markdown_plain(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT doc_id, regexp_matches(text, '[^\\x00-\\x7F\\x{A0}-\\x{FF}•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž]') AS unicode, length(text)::INTEGER AS n FROM documents""")
+def q20_document_encoding(t):
+    return t("documents").select("doc_id", text.needs_unicode(F.col("text")).alias("unicode"), F.octet_length(text.doc_encode(F.col("text"))).alias("n"))
+
+
+@query("""SELECT doc_id, (2 + 2 * length(text) + 2 * length(regexp_replace(text, '[\\x{0}-\\x{FFFF}]', '', 'g')))::INTEGER AS n FROM documents""")
+def q21_utf16(t):
+    return t("documents").select("doc_id", F.octet_length(text.utf16be(F.col("text"))).alias("n"))
+
+
+@query("""SELECT doc_id, strlen(text)::INTEGER AS n_bytes, length(text)::INTEGER AS n_points FROM documents""")
+def q22_utf8_length(t):
+    return t("documents").select("doc_id", F.octet_length(text.utf8(F.col("text"))).alias("n_bytes"), F.length("text").alias("n_points"))
+
+
+@query("""SELECT doc_id, md5(hex(encode(text)) || '>') AS digest, (2 * strlen(text) + 1)::INTEGER AS n FROM documents""")
+def q23_hex_encode(t):
+    coded = codecs.encode(text.utf8(F.col("text")), "ASCIIHexDecode")
+    return t("documents").select("doc_id", F.md5(coded).alias("digest"), F.octet_length(coded).alias("n"))
+
+
+@query("""SELECT doc_id, upper(md5(text)) AS md5, upper(sha256(text)) AS sha256, upper(sha1(text)) AS sha1 FROM documents""")
+def q24_hashes(t):
+    data = text.utf8(F.col("text"))
+    return t("documents").select("doc_id", *[text.hex_upper(crypto.digest(data, a)).alias(a) for a in ("md5", "sha256", "sha1")])
+
+
+@query("""SELECT page_id, string_agg(CASE WHEN regexp_full_match(c, '[+,A-Za-z0-9_.-]') THEN c ELSE '#' || upper(lpad(to_hex(unicode(c)), 2, '0')) END, '' ORDER BY i) AS name FROM (SELECT page_id, unnest(string_split(url, '')) AS c, generate_subscripts(string_split(url, ''), 1) AS i FROM pages) GROUP BY page_id""")
+def q25_name_escape(t):
+    return t("pages").select("page_id", text.name_escape(F.col("url")).alias("name"))
+
+
+@query("""SELECT r_name AS path, 0 AS depth FROM region UNION ALL SELECT r_name || '.' || n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def q26_tree_paths(t):
+    regions = t("region").select(F.lit(0).alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("name"))
+    nations = t("nation").select(F.lit(0).alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
+    return relational.tree_paths(regions.unionByName(nations)).select("path", "depth")
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice * 4 < o_totalprice""")
+def q27_join_residual(t):
+    return t("orders").join(t("lineitem"), (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_extendedprice") * 4 < F.col("o_totalprice"))).select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""SELECT o_orderkey, c_name, row_number() OVER (ORDER BY o_orderkey)::INTEGER AS position FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+def q28_ordered_lookup(t):
+    ordered = t("orders").select("o_orderkey", "o_custkey", F.row_number().over(W.orderBy("o_orderkey")).alias("position"))
+    return ordered.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name", "position")
+
+
+@query("""SELECT p_partkey, low, width FROM part JOIN (VALUES (1, 9), (10, 11), (21, 5), (26, 30)) r(low, width) ON p_size >= low AND p_size < low + width""")
+def q29_range_join(t):
+    part = t("part").select("p_partkey", "p_size")
+    ranges = part.sparkSession.createDataFrame([(1, 9), (10, 11), (21, 5), (26, 30)], "low int, width int")
+    return relational.in_ranges(part, "p_size", ranges, "low", "width", 8).select("p_partkey", "low", "width")
+
+
+@query("""SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
+def q30_distinct_content(t):
+    return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("""SELECT conv_id, role, max_by(md5(text), turn) AS digest FROM conversations GROUP BY 1, 2""")
+def q31_last_value(t):
+    return t("conversations").groupBy("conv_id", "role").agg(F.max_by(F.md5("text"), "turn").alias("digest"))
+
+
+@query("""SELECT conv_id, max(turn) AS last_turn, max_by(role, turn) AS last_role, max(CASE WHEN turn = 1 THEN md5(text) END) AS second FROM conversations GROUP BY 1""")
+def q32_positions(t):
+    return t("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.max(F.when(F.col("turn") == 1, F.md5("text"))).alias("second"))
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(8), '\\b'), chr(12), '\\f'), '(', '\\('), ')', '\\)')) AS digest FROM documents""")
+def q33_escape_string(t):
+    return t("documents").select("doc_id", F.md5(text.escape_string(F.col("text"))).alias("digest"))
+
+
+@query("""SELECT p_partkey, 'F' || (p_size % 4) AS font, p_size::DOUBLE AS size, CASE WHEN p_size % 2 = 0 THEN '0 0 1 rg' ELSE '0 g' END AS color FROM part""")
+def q34_default_appearance(t):
+    da = F.concat(F.lit("/F"), F.col("p_size") % 4, F.lit(" "), F.col("p_size"), F.lit(" Tf"), F.when(F.col("p_size") % 2 == 0, F.lit(" 0 0 1 rg")).otherwise(F.lit("")))
+    return t("part").select("p_partkey", text.default_appearance(da).alias("a")).select("p_partkey", "a.font", "a.size", "a.color")
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events""")
+def q35_json_value(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT doc_id, TRUE AS same, md5(text) AS digest FROM documents""")
+def q36_flate(t):
+    data = text.utf8(F.col("text"))
+    back = codecs.decode(codecs.encode(data, "FlateDecode"), "FlateDecode")
+    return t("documents").select("doc_id", (back == data).alias("same"), F.md5(back).alias("digest"))
+
+
+@query("""SELECT doc_id, md5(text) AS ascii85, md5(text) AS lzw, md5(text) AS run_length FROM documents""")
+def q37_codecs(t):
+    data = text.utf8(F.col("text"))
+    names = {"ascii85": "ASCII85Decode", "lzw": "LZWDecode", "run_length": "RunLengthDecode"}
+    return t("documents").select("doc_id", *[F.md5(codecs.decode(codecs.encode(data, n), n)).alias(a) for a, n in names.items()])
+
+
+@query("""SELECT doc_id, md5(text) AS rc4, md5(text) AS aes FROM documents""")
+def q38_ciphers(t):
+    data, key = text.utf8(F.col("text")), F.unhex(F.md5(F.col("doc_id").cast("string")))
+    return t("documents").select("doc_id", F.md5(crypto.rc4(crypto.rc4(data, key), key)).alias("rc4"), F.md5(crypto.aes_cbc_decrypt(crypto.aes_cbc_encrypt(data, key), key)).alias("aes"))
+
+
+@query("""SELECT c_custkey, upper(substr(md5(unhex(md5('k') || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || '0000')), 1, 32)) AS object_key FROM (SELECT c_custkey, lpad(to_hex(c_custkey), 8, '0') AS h FROM customer)""")
+def q39_object_key(t):
+    return t("customer").select("c_custkey", F.hex(crypto.object_key(F.unhex(F.md5(F.lit("k"))), F.col("c_custkey"), F.lit(0))).alias("object_key"))
+
+
+@query("""SELECT p_partkey, round(sum(CASE WHEN c = ' ' THEN 250 WHEN c BETWEEN 'A' AND 'Z' THEN 750 WHEN c BETWEEN 'a' AND 'z' THEN 500 WHEN c BETWEEN '0' AND '9' THEN 600 ELSE 400 END) * 12 / 1000.0, 6)::DOUBLE AS width FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) GROUP BY 1""")
+def q40_text_width(t):
+    return t("part").select("p_partkey", F.round(layout.text_width(F.col("p_name"), layout.plain_widths(), 12.0), 6).alias("width"))
+
+
+@query()
+def q41_wrap_and_fit(t):
+    return t("documents").select("doc_id", layout.wrap_text(F.col("text"), 400.0, 10.0).alias("lines"), layout.fitting_size(F.col("text"), 400.0, 300.0).alias("size")).select("doc_id", F.size("lines").alias("n_lines"), "size")
+
+
+@query("""SELECT doc_id, 1 AS n_pages, 5 AS n_objects, md5(text) AS digest FROM documents""")
+def q42_write_and_read(t):
+    files = pdf.write(t("documents").select("doc_id", "text"))
+    return pdf.page_texts(files)
+
+
+@query("""SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day, TRUE AS number_ok, c_custkey % 2 = 0 AS phone_ok FROM orders JOIN customer ON o_custkey = c_custkey""")
+def q43_parse_and_validate(t):
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = formats.scand("mm/dd/yyyy", formats.printd("mm/dd/yyyy", F.col("o_orderdate")))
+    phone = F.rpad(F.lit("5"), 8, "5")
+    return joined.select("o_orderkey", day.cast("timestamp_ntz").alias("day"), formats.number_valid(formats.number_format(F.col("o_totalprice"), 2)).alias("number_ok"), formats.special_valid(F.when(F.col("c_custkey") % 2 == 0, F.lit("555 123-4567")).otherwise(phone), 2).alias("phone_ok"))
+
+
+@query("""SELECT p_partkey, least(p_size, 25) AS x1, least(p_partkey % 50, 10) AS y1, greatest(p_size, 25) AS x2, greatest(p_partkey % 50, 10) AS y2, greatest(p_size, 25) - least(p_size, 25) AS width, greatest(p_partkey % 50, 10) - least(p_partkey % 50, 10) AS height FROM part""")
+def q44_rectangles(t):
+    return t("part").select("p_partkey", formats.rect(F.col("p_size"), F.col("p_partkey") % 50, F.lit(25), F.lit(10).cast("long")).alias("r")).select("p_partkey", "r.*")
+
+
+@query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, min(ts) AS begin, count(*) AS n FROM s GROUP BY 1, 2""")
+def q45_sessions(t):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = t("events").withColumn("fresh", F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1))
+    return rows.withColumn("session", F.sum("fresh").over(w)).groupBy("user_id", "session").agg(F.min("ts").alias("begin"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_custkey, max(o_orderkey) + 1 AS size, (ceil(log2(max(o_orderkey) + 1) / 8))::BIGINT AS bytes FROM orders GROUP BY 1""")
+def q46_index_size(t):
+    top = F.max("o_orderkey") + 1
+    return t("orders").groupBy("o_custkey").agg(top.alias("size"), F.ceil(F.log2(top) / 8).alias("bytes"))
+
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@query("""SELECT l_orderkey, exp(sum(ln(1 + l_tax)))::DECIMAL(18, 6)::DOUBLE AS product, coalesce(avg(l_quantity), 0)::DECIMAL(18, 6)::DOUBLE AS mean FROM lineitem GROUP BY 1""")
+def q47_product(t):
+    product = relational.simple_calculate(1 + F.col("l_tax"), "PRD")
+    return t("lineitem").groupBy("l_orderkey").agg(product.cast("decimal(18,6)").cast("double").alias("product"), relational.simple_calculate(F.col("l_quantity"), "AVG").cast("decimal(18,6)").cast("double").alias("mean"))
 
 
-def q03_byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.orderBy("doc_id").rowsBetween(W.unboundedPreceding, -1)
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce(F.sum("n_chars").over(w), F.lit(0)).alias("byte_offset"))
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, min(l_partkey) AS b FROM lineitem GROUP BY 1), r AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM r JOIN e ON e.a = r.node) SELECT node FROM r""")
+def q48_closure(t):
+    edges = t("lineitem").groupBy(F.col("l_orderkey").alias("source")).agg(F.min("l_partkey").alias("target")).select(F.lit(0).alias("doc_id"), "source", "target")
+    roots = edges.sparkSession.createDataFrame([(0, 1)], "doc_id int, node long")
+    return relational.closure(edges, roots).select("node")
 
 
-def queries() -> dict:
-    return {"q03_byte_offsets": q03_byte_offsets}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "q03_byte_offsets": """SELECT doc_id, n_chars, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM documents""",
-    }
+    return dict(SQL)
