@@ -86,7 +86,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         if p:
             matrix[index[s][p], at[own]] = count
         else:
-            total[s, at[own]] = count
+            total[s, at[own]] = max(1, count)
     sizes = np.repeat(np.arange(LONGEST + 1), [len(i) for i in index])
     return {"langs": langs, "index": index, "matrix": np.log10(matrix / total[sizes]).astype(np.float32)}
 

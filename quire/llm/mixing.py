@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
 
     A copy is the whole text; the last may be the text's first words, where the shard's quota
     ends inside the document. Documents of which nothing is taken are left out. The
-    columns of ``docs`` stay; rows of one doc_id and one text count as one document's copies.
+    columns of ``docs`` stay (the new ones are ``mix_copy`` and ``mix_taken`` if it has such already); rows of one doc_id and one text count
+    as one document's copies.
     """
     names = docs.columns
     taken = mix(docs, key=True, **params).groupBy("doc_id", "text_key", "size").agg(F.collect_list("taken").alias("_list")).filter(F.exists("_list", lambda t: t > 0))
@@ -139,9 +140,11 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     rows = flat.join(taken, flat[by["doc_id"]].eqNullSafe(taken["doc_id"]) & (flat["_key"] == taken["text_key"]))
     words = F.slice(F.regexp_extract_all(F.col(by["text"]), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int"))
     pieces = F.flatten(F.transform("_list", lambda t: F.when(t > 0, F.transform(F.sequence(F.lit(1), F.ceil(t / F.col("size")).cast("int")), lambda k: F.least(F.col("size"), t - (k - 1) * F.col("size")))).otherwise(F.array().cast("array<long>"))))
-    rows = rows.select(*flat.columns, "size", F.posexplode(pieces).alias("copy", "_words"))
+    rows = rows.select(*[c for c in flat.columns if c != "_key"], "size", F.posexplode(pieces).alias("copy", "_words"))
     text = F.when(F.col("_words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(by["text"]))
-    return rows.select(*[(text if n == "text" else F.col(f"__{i}")).alias(n) for i, n in enumerate(names)], (F.col("copy") + 1).alias("copy"), F.col("_words").cast("long").alias("taken"))
+    free = lambda n: n if n not in [c.lower() for c in names] else free(f"mix_{n}")
+    own = [text.alias(c) if c == by["text"] else F.col(c) for c in (f"__{i}" for i in range(len(names)))]
+    return rows.select(*own, (F.col("copy") + 1).alias("_copy"), F.col("_words").cast("long")).toDF(*names, free("copy"), free("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,8 +290,11 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
             yield batch.set_column(at, own, pa.array(texts, batch.column(at).type)).select(names_in)
 
     names_in = [f"_{i}" for i in range(len(names))]
-    made = joined.mapInArrow(run, flat.drop("key").schema).toDF(*names)
-    return made.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col])) if chars_col in names else made
+    made = joined.mapInArrow(run, flat.drop("key").schema)
+    if chars_col in names:
+        chars = names.index(chars_col)
+        made = made.withColumn(f"_{chars}", F.length(own).cast(docs.dtypes[chars][1]))
+    return made.toDF(*names)
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
