@@ -62,7 +62,7 @@ def printf(form: str, *args: Column) -> Column:
     specs = [m[0] for m in re.finditer("%[-+ 0#]*\\d*(?:\\.\\d+)?[dfsxXo%]", form) if not m[0].endswith("%")]
     for spec, arg in zip(specs, args):
         places = int(spec.split(".")[1][:-1]) if "." in spec else 6
-        cast.append(arg.cast("long") if spec[-1] in "dxXo" else F.round(arg.cast("decimal(38,12)"), places) if spec[-1] == "f" else arg.cast("string"))
+        cast.append(arg.cast("long") if spec[-1] in "dxXo" else F.round(arg.cast("decimal(38,12)"), places).cast("double") if spec[-1] == "f" else arg.cast("string"))
     return F.format_string(form, *cast)
 
 
