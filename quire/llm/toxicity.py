@@ -26,7 +26,9 @@ THRESHOLD = 0.7
 CLASSIFIERS = 3
 STEPS = 400
 WORDS = re.compile(r"[^\W\d_]+")
-CACHE = 300_000
+CACHE = 100_000
+#: Features that a task counts before it hands them on.
+HELD = 200_000
 
 
 def of_word(word: str) -> list[str]:
@@ -107,18 +109,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        texts = {True: 0, False: 0}
+
+        def handed_on() -> pa.RecordBatch:
+            made = [*own[True].items(), *((f, -n) for f, n in own[False].items())]
+            own[True].clear(), own[False].clear()
+            return pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], ["feature", "toxic"])
+
         for batch in batches:
             for positive, text in zip(batch.column("positive").to_pylist(), batch.column("text").to_pylist()):
                 own[positive].update(features(text))
-                texts[positive] += 1
-        own[True][""], own[False][""] = texts[True], texts[False]
-        names = list(own[True])  # a feature of no toxic text is of no use
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([own[True][f] for f in names], pa.int64())], ["feature", "toxic"])
-        names = list(own[False])
-        for at in range(0, len(names), 200_000):
-            part = names[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([-own[False][f] for f in part], pa.int64())], ["feature", "toxic"])
+                own[positive][""] += 1
+                if len(own[True]) + len(own[False]) > HELD:
+                    yield handed_on()
+        yield handed_on()
 
     counts = sample.mapInArrow(count, "feature string, toxic long").groupBy("feature").agg(F.sum(F.greatest("toxic", F.lit(0))).alias("p"), F.sum(F.greatest(-F.col("toxic"), F.lit(0))).alias("u"))
     size = counts.filter("feature = ''").first()
