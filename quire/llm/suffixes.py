@@ -21,8 +21,8 @@ PIECE = 1 << 20
 #: Bytes of contexts that are sorted at a time, and different contexts of one anchor from which on they are dealt to many tasks.
 SORT_BYTES = 2 << 20
 HOT = 20_000
-#: Rows of (row key, ranges) that are broadcast at most, of about 50 bytes each; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast if it has at most this many rows (of fixed width) or ranges in all; otherwise the join is shuffled.
+BROADCAST_ROWS = 200_000
 U = np.uint64
 
 
@@ -209,6 +209,10 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     return ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
+def ranges_in(found: DataFrame) -> int:
+    return found.agg(F.sum(F.size("ranges"))).first()[0] or 0
+
+
 def spans(ranges: list[dict], length: int, size: int) -> list[tuple[int, int]]:
     """The maximal removed runs [from, to) of a text of ``size`` bytes."""
     merged: list[tuple[int, int]] = []
@@ -243,7 +247,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     found = spooled(repeats(rows.select("key", "text"), length, hot).withColumnRenamed("key", "_key"))
-    few = broadcast_if(found, found.count(), BROADCAST_ROWS)
+    few = broadcast_if(found, ranges_in(found), BROADCAST_ROWS)
     joined = rows.join(few, rows["key"] == few["_key"], "left").select("doc_id", "key", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
     at, own = names.index(text_col), f"_{names.index(text_col)}"
     flat = flat.withColumn("key", F.xxhash64(f"_{names.index(id_col)}", own))
     found = spooled(repeats(flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text")), length).withColumnRenamed("key", "_key"))
-    joined = flat.join(broadcast_if(found, found.count(), BROADCAST_ROWS), flat["key"] == found["_key"], "left").drop("key", "_key")
+    joined = flat.join(broadcast_if(found, ranges_in(found), BROADCAST_ROWS), flat["key"] == found["_key"], "left").drop("key", "_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
