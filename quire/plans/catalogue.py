@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import codecs, crypto, flags, formats, text
-from quire.operators import layout, relational
+from quire.operators import forms, layout, relational, signatures
 from quire.sources import documents as pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,6 +309,72 @@ def q48_closure(t):
     return relational.closure(edges, roots).select("node")
 
 
+@query("""SELECT doc_id, kind, n::BIGINT AS n FROM documents CROSS JOIN (VALUES ('dictionary', 4), ('stream', 1)) k(kind, n)""")
+def q49_object_kinds(t):
+    return pdf.objects(pdf.write(t("documents").select("doc_id", "text"))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT doc_id, 6::BIGINT AS entries, 5::BIGINT AS live, 0 AS first_free FROM documents""")
+def q50_index_entries(t):
+    entries = pdf.xref_entries(pdf.write(t("documents").select("doc_id", "text")))
+    return entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.when(F.col("entry_type") == 1, 1).otherwise(0)).alias("live"), F.min(F.when(F.col("entry_type") == 0, F.col("obj_no"))).alias("first_free"))
+
+
+@query("""SELECT doc_id, 0 AS page_no, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotate FROM documents""")
+def q51_pages(t):
+    return pdf.pages(pdf.write(t("documents").select("doc_id", "text"))).select("doc_id", "page_no", "width", "height", "rotate")
+
+
+@query("""SELECT n_regionkey AS doc_id, sum(n_nationkey)::VARCHAR AS total, (2 * sum(n_nationkey))::VARCHAR AS twice FROM nation GROUP BY 1""")
+def q52_calculation_order(t):
+    nation = t("nation").select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("value"))
+    docs = nation.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
+    empty = docs.select("doc_id", F.explode(F.array(F.lit("total"), F.lit("twice"))).alias("name"), F.lit(None).cast("string").alias("value"))
+    first = docs.select("doc_id", F.lit(0).alias("position"), F.lit("total").alias("target"), F.lit("SUM").alias("operation"), F.col("names").alias("sources"))
+    second = docs.select("doc_id", F.lit(1).alias("position"), F.lit("twice").alias("target"), F.lit("sum").alias("operation"), F.array(F.lit("total"), F.lit("total")).alias("sources"))
+    done = forms.calculated(nation.unionByName(empty), first.unionByName(second))
+    return done.groupBy("doc_id").agg(F.max(F.when(F.col("name") == "total", F.col("value"))).alias("total"), F.max(F.when(F.col("name") == "twice", F.col("value"))).alias("twice"))
+
+
+@query("""SELECT conv_id, role, max_by(md5(text), turn) AS digest FROM conversations WHERE role = 'user' GROUP BY 1, 2""")
+def q53_export(t):
+    rows = t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("name"), F.md5("text").alias("value"), F.col("turn").alias("ordinal"))
+    data = forms.exported(rows).select(F.col("doc_id").alias("conv_id"), F.explode("data").alias("role", "digest"))
+    return data.filter("role = 'user'")
+
+
+@query("""SELECT doc_id, 0::BIGINT AS r0, (n_chars // 3)::BIGINT AS r1, (n_chars // 3 + 66)::BIGINT AS r2, (n_chars + 100 - n_chars // 3 - 66)::BIGINT AS r3 FROM documents""")
+def q54_byte_range(t):
+    r = signatures.byte_range(F.floor(F.col("n_chars") / 3), F.lit(66), F.col("n_chars") + 100)
+    return t("documents").select("doc_id", r.alias("r")).select("doc_id", *[F.col("r")[i].alias(f"r{i}") for i in range(4)])
+
+
+@query("""WITH r AS (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT o_custkey AS doc_id, (n - 1)::INTEGER AS revision_no, (n - 2)::INTEGER AS prev_no FROM r WHERE prev <> 0""")
+def q55_prev_links(t):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = t("orders").select(F.col("o_custkey").alias("doc_id"), (F.row_number().over(w) - 1).alias("revision_no"), F.col("o_orderkey").alias("xref_offset"), F.lag("o_orderkey").over(w).alias("prev"))
+    return relational.prev_links(rows)
+
+
+@query("""SELECT p_partkey, rpad(hex(encode(p_name)), 400, '0') AS padded, CASE WHEN contains(p_brand, '#') THEN hex(encode(replace(p_brand, '#', '<>'))) END AS replaced FROM part""")
+def q56_bytes(t):
+    return t("part").select("p_partkey", F.hex(text.pad_bytes(text.utf8(F.col("p_name")), 200)).alias("padded"), F.hex(text.replace_bytes(text.utf8(F.col("p_brand")), b"#", b"<>", True)).alias("replaced"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, printf('%05d', l_partkey) AS part, 'D:' || strftime(l_shipdate, '%Y%m%d%H%M%S') || '+00' || chr(39) || '00' || chr(39) AS shipped, date_trunc('second', l_shipdate) AS back, l_quantity AS quantity FROM lineitem""")
+def q57_formats(t):
+    shipped = formats.document_date(F.col("l_shipdate"))
+    quantity = formats.parse_numeric(F.concat(F.lit("qty: "), F.col("l_quantity").cast("string")))
+    return t("lineitem").select("l_orderkey", "l_linenumber", formats.printf("%05d", F.col("l_partkey")).alias("part"), shipped.alias("shipped"), formats.parse_document_date(shipped).cast("timestamp_ntz").alias("back"), quantity.alias("quantity"))
+
+
+@query("""SELECT DISTINCT n_regionkey AS region, r_name AS inherited FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def q58_inheritance(t):
+    regions = t("region").select(F.lit(1).alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.col("r_name").alias("v"), F.col("r_regionkey").alias("k"))
+    nations = t("nation").select(F.lit(1).alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.lit(None).cast("string").alias("v"), F.col("n_regionkey").alias("k"))
+    return relational.inherited(nations, regions, ["v"]).select(F.col("k").alias("region"), F.col("v").alias("inherited")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
