@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import broadcast_if, pick, spooled, table, width
+from quire.llm.common import pick, spooled, table, width
 
 LENGTH = 400
 #: Starts that are cut at a time in a very long text.
@@ -21,8 +22,9 @@ PIECE = 1 << 20
 #: Bytes of contexts that are sorted at a time, and different contexts of one anchor from which on they are dealt to many tasks.
 SORT_BYTES = 2 << 20
 HOT = 20_000
-#: A side is broadcast if it has at most this many rows (of fixed width) or ranges in all; otherwise the join is shuffled.
-BROADCAST_ROWS = 200_000
+#: Bits of the bitmap of row keys that go to a join, for each key and at most.
+BITS_A_KEY = 32
+MOST_BITS = 1 << 27
 U = np.uint64
 
 
@@ -149,9 +151,9 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     known = kinds.filter("n > 1").select("anchor", "own", F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
     open_, widest = kinds.filter("kinds > 1").agg(F.count(F.lit(1)), F.max("kinds")).first()
     asked = kinds.filter("kinds > 1").select(F.col("key").alias("_key"), "first", "last", "anchor", "own", "n", "kinds")
-    asked = broadcast_if(asked, open_, BROADCAST_ROWS)
+    held = rows.filter(likely(asked, open_, "_key")(F.col("key")))
     context = F.expr(f"substring(text, first + 1, last - first + {length})")
-    contexts = rows.join(asked, rows["key"] == asked["_key"]).select("anchor", "own", (F.col("n") > 1).alias("known"), "kinds", context.alias("context"))
+    contexts = held.join(asked, F.col("key") == F.col("_key")).select("anchor", "own", (F.col("n") > 1).alias("known"), "kinds", context.alias("context"))
 
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         both = pa.Table.from_batches(held)
@@ -209,8 +211,29 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     return ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
-def ranges_in(found: DataFrame) -> int:
-    return found.agg(F.sum(F.size("ranges"))).first()[0] or 0
+def likely(keys: DataFrame, n: int, key: str) -> Callable[[Column], Column]:
+    """A test of row keys that says yes to all of ``keys`` and to few others, by one bit of a bitmap of bounded size; it keeps most texts out of a shuffle."""
+    bits = min(MOST_BITS, 1 << max(10, (BITS_A_KEY * max(1, n) - 1).bit_length()))
+    at = F.pmod(F.col(key), F.lit(bits))
+    words = keys.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        place = np.mod(key.to_numpy(), bits)
+        return pd.Series((shared.value[place >> 6] >> (place & 63)) & 1 == 1)
+
+    return test
+
+
+def with_ranges(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the ``ranges`` of ``found`` (_key, ranges), null where there are none. Only rows that are likely to have some are shuffled."""
+    test = likely(found, found.count(), "_key")
+    other = rows.filter(~test(F.col("key"))).withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType))
+    return rows.filter(test(F.col("key"))).join(found, F.col("key") == F.col("_key"), "left").drop("_key").unionByName(other)
 
 
 def spans(ranges: list[dict], length: int, size: int) -> list[tuple[int, int]]:
@@ -247,8 +270,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     found = spooled(repeats(rows.select("key", "text"), length, hot).withColumnRenamed("key", "_key"))
-    few = broadcast_if(found, ranges_in(found), BROADCAST_ROWS)
-    joined = rows.join(few, rows["key"] == few["_key"], "left").select("doc_id", "key", "text", "ranges")
+    joined = with_ranges(rows, found).select("doc_id", "key", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +301,7 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
     at, own = names.index(text_col), f"_{names.index(text_col)}"
     flat = flat.withColumn("key", F.xxhash64(f"_{names.index(id_col)}", own))
     found = spooled(repeats(flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text")), length).withColumnRenamed("key", "_key"))
-    joined = flat.join(broadcast_if(found, ranges_in(found), BROADCAST_ROWS), flat["key"] == found["_key"], "left").drop("key", "_key")
+    joined = with_ranges(flat, found).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
