@@ -125,7 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
     counts = sample.mapInArrow(count, "feature string, toxic long").groupBy("feature").agg(F.sum(F.greatest("toxic", F.lit(0))).alias("p"), F.sum(F.greatest(-F.col("toxic"), F.lit(0))).alias("u"))
     size = counts.filter("feature = ''").first()
-    n_p, n_u = max(1, size["p"]), max(1, size["u"])
+    if size is None or not size["p"]:
+        return {}
+    n_p, n_u = size["p"], max(1, size["u"])
     smooth = min(2 / n_p, 0.05)
     p, u = F.col("p") / n_p, F.col("u") / n_u
     rest = F.greatest(F.lit(0.0), u - prior * p) / (1 - prior)
