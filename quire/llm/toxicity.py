@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, fold, pick, table, thinned
+from quire.llm.common import durable, fold, pick, table, thinned, width
 
 #: Bounds of what the classifiers are fitted on: toxic texts, unlabelled texts, features.
 MOST_TOXIC = 6_000
@@ -105,6 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("positive"), pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.int64())], ["text", "positive", "sketch"])
 
     # of copies one is enough: else what a group of them happens to share would look typical
+    sample = sample.repartition(width(docs.sparkSession))
     sample = durable(sample.mapInArrow(sketched, "text string, positive boolean, sketch long").dropDuplicates(["positive", "sketch"]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
