@@ -17,6 +17,12 @@ from quire.llm.common import pick, table
 SHARE = 0.12
 #: Part of an ancestor's score that a path inherits for each step down.
 INHERIT = 0.8
+#: The part for a step out of one of these, which may be a branch of its own amid an article; headings inherit as ever.
+CROSS = 0.05
+BRANCHES = frozenset("div section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Weight of the paths inside article marks, if most of the text over the threshold is outside of them, or of those outside, if most is inside.
+OTHER_SIDE = 0.3
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|$)", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CLASS = re.compile(r"""\bclass\s*=\s*["']?([^"'>]*)""", re.I)
@@ -156,7 +162,7 @@ def scores(found: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...
 
     A path's ratio is what its nodes hold on the average. Its smoothed ratio is the larger of its own and
     a part of its parent path's, for which a parent's ratio is what all nodes below it hold per child path; so short nodes
-    amid long ones (a heading in an article) keep up, and those of a short branch (a footer) don't. The
+    amid long ones (a heading in an article) keep up, and those of a short branch (a footer, a box of links) don't. The
     two smoothed ratios are fused by their geometric mean.
     """
     length: dict[tuple[str, ...], list[float]] = {}
@@ -177,13 +183,14 @@ def scores(found: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...
     fused: dict[tuple[str, ...], float] = {}
     for path, (chars, stops, n) in length.items():
         linked = 0.2 if "a" in path else 1.0
-        text, point = chars / n, (stops + 0.1) / n
+        text, point, part = chars / n, (stops + 0.1) / n, 1.0
         for up in range(1, len(path)):
             above = below[path[: len(path) - up]]
             if len(path) - up <= 1 or path[len(path) - up - 1] in ("html", "body"):
                 break
-            text = max(text, INHERIT**up * above[0] / above[2])
-            point = max(point, INHERIT**up * (above[1] + 0.1) / above[2])
+            part *= CROSS if path[len(path) - up].partition(".")[0] in BRANCHES and path[-1].partition(".")[0] not in HEADINGS else INHERIT
+            text = max(text, part * above[0] / above[2])
+            point = max(point, part * (above[1] + 0.1) / above[2])
         fused[path] = linked * math.sqrt(text * point)
     return fused
 
@@ -191,17 +198,23 @@ def scores(found: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...
 def main_text(page: str | None) -> str:
     """The main text of a page; see ``extract``."""
     found = nodes(page or "")
-    inside = [f for f in found if "article" in f[0]] or [f for f in found if "main" in f[0]]
-    found = inside or found
     score = scores(found)
     least = SHARE * max(score.values(), default=0.0)
+    marked = {path: not ARTICLE_TAGS.isdisjoint(path) for path in score}
+    inside = outside = 0
+    for path, _, text in found:
+        if score.get(path, 0.0) >= least > 0:
+            size = len(" ".join(text.split()))
+            inside, outside = inside + size * marked[path], outside + size * (not marked[path])
+    score = {path: own if marked[path] == (inside >= outside) else OTHER_SIDE * own for path, own in score.items()}
+    least = SHARE * max(score.values(), default=0.0)
     best: dict[int, float] = {}  # a block stays whole, so a link amid text stays with it
     for path, block, _ in found:
         best[block] = max(best.get(block, 0.0), score.get(path, 0.0))
     parts: list[str] = []
     last = None
     for _, block, text in found:
-        if best[block] >= least or inside:
+        if best[block] >= least:
             parts += ([" "] if block != last else []) + [text]
             last = block
     return " ".join("".join(parts).split())
@@ -212,7 +225,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Text length and punctuation are aggregated per root-to-leaf tag path, smoothed down the tree of paths, fused and
     held against a share of the page's highest. Elements that are never an article's by name, role or class (menus, forms,
-    adverts, comments and so on) are left out beforehand; of a page that marks its article, the text marked is the candidate.
+    adverts, comments and so on) are left out beforehand. An article mark decides nothing alone: the paths on the side of the
+    marks that has less of the text weigh less.
 
     Null or empty html, or none with text: an empty text. Broken markup and very long pages are read to their end. Null or
     repeated ids: each row is returned. Empty table: no rows. Other columns don't matter.

@@ -109,3 +109,12 @@ def test_extraction_without_article_element():
     <script>var x = "</p>";</script><div class="comments"><p>Great post, thanks! I liked it.</p></div><form><p>Leave a reply, please.</p></form></div>
     <div class="footer">Copyright, all rights. Reserved.</div></body></html>"""
     assert extraction.main_text(page) == "Heading First paragraph, long enough, & with points. It goes on. Second paragraph, with a link; and so on."
+
+
+def test_article_marks_do_not_bypass_the_threshold():
+    story = " ".join(f"<p>Paragraph {i} of the story is long enough, with points, and it goes on. It has two sentences, at least; so it counts.</p>" for i in range(5))
+    plain = " ".join(re.sub("<[^>]*>", "", story).split())
+    teaser = "<article><h3>Elsewhere</h3><p>A short one, read on.</p></article>"
+    assert extraction.main_text(f'<body><div class="post"><h2>Heading</h2>{story}</div>{teaser}</body>') == f"Heading {plain}"
+    junk = '<div class="x7">Filed under Politics Economy World</div><div class="x8"><a href=1>Print</a> <a href=2>Mail</a></div>'
+    assert extraction.main_text(f"<body><article><h1>Heading</h1>{story}{junk}</article></body>") == f"Heading {plain}"
