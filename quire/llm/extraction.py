@@ -42,6 +42,8 @@ CLOSES = {
     "option": ({"option"}, {"select"}),
 }
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: An element that a class or id marks stays, all the same, if this share of the page's text is in it.
+MOST = 0.75
 #: Elements, roles and words of a class or id that mark what isn't an article's text.
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button select option fieldset head object svg canvas audio video map datalist input label legend".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
@@ -51,22 +53,23 @@ ARTICLE_TAGS = frozenset("article main".split())
 STOPS = re.compile(r"[.,;:!?…。、，！？；：]")
 
 
-def boilerplate(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's name, role, class or id marks it as anything but the article. ``inside``: it is within one."""
+def boilerplate(tag: str, attributes: str, inside: bool) -> str:
+    """What marks an element as anything but the article: "kind" (its name or role, or it is hidden), "word" (of its class or id) or nothing. ``inside``: it is within one."""
     if tag in BOILER_TAGS or tag == "header" and not inside:
-        return True
+        return "kind"
     if not attributes:
-        return False
+        return ""
+    mark = ""
     for name, a, b, c in NAMES.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value.strip() in BOILER_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return "kind"
         words = PIECE.findall(value) if name in ("class", "id") and tag not in ("html", "body", "main") else ()
         if any(w in (OTHER_ARTICLES if tag == "article" else BOILER_WORDS) for w in words):
-            return True
+            mark = "word"
         if name in ("class", "id") and not inside and any(w in ("header", "head") for w in PIECE.findall(value)) and tag not in ("html", "body"):
-            return True
-    return False
+            mark = "word"
+    return mark
 
 
 def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
@@ -74,21 +77,38 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
 
     A path's steps are elements with their classes; inline elements but links are no part of it. A block is a run of text between the borders of block elements
     or line breaks. Elements that were not closed end where HTML's rules end them, or with their parent.
+
+    An element that only a word of its class or id marks stays if it holds most of the page's text, or the article or main
+    element with the most text, if that isn't little beside what stays in any case.
     """
-    found: list[tuple[tuple[str, ...], int, str]] = []
+    found: list[tuple[tuple[str, ...], int, str, tuple[int, ...]]] = []
     stack: list[str] = []
     steps: list[str] = []  # of the same elements, with their classes
     path: tuple[str, ...] = ()
     skip_from = 0  # depth at which boilerplate began
     block, at, size = 0, 0, len(page)
     articles = 0
+    worded: list[tuple[int, int]] = []  # depth and number of the open elements that a word marks
+    open_articles: list[tuple[int, int]] = []
+    within: tuple[int, ...] = ()  # numbers of the open ones
+    sizes: list[int] = []  # text in each marked element
+    article_sizes: list[list] = []  # text in each article or main element, and the marked ones around it
+    total = 0
 
     def text(raw: str) -> None:
+        nonlocal total
         if raw and not skip_from:
-            found.append((path, block, html.unescape(raw)))
+            raw = html.unescape(raw)
+            found.append((path, block, raw, within))
+            n = len(" ".join(raw.split()))
+            total += n
+            for i in within:
+                sizes[i] += n
+            for _, i in open_articles:
+                article_sizes[i][0] += n
 
     def pop_to(depth: int) -> None:
-        nonlocal path, skip_from, articles, block
+        nonlocal path, skip_from, articles, block, within
         for tag in stack[depth:]:
             articles -= tag in ARTICLE_TAGS
             if tag not in INLINE:
@@ -96,6 +116,12 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
         del stack[depth:], steps[depth:]
         if skip_from > depth:
             skip_from = 0
+        while open_articles and open_articles[-1][0] > depth:
+            open_articles.pop()
+        if worded and worded[-1][0] > depth:
+            while worded and worded[-1][0] > depth:
+                worded.pop()
+            within = tuple(i for _, i in worded)
         path = tuple(p for t, p in zip(stack, steps) if t not in INLINE or t == "a")
 
     while at < size:
@@ -151,10 +177,22 @@ def nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
         articles += tag in ARTICLE_TAGS
         if tag not in INLINE:
             block += 1
-        if not skip_from and boilerplate(tag, m[4] or "", articles > 0):
+        mark = "" if skip_from else boilerplate(tag, m[4] or "", articles > 0)
+        if mark == "kind":
             skip_from = len(stack)
+        elif mark:
+            worded.append((len(stack), len(sizes)))
+            within += (len(sizes),)
+            sizes.append(0)
+        elif tag in ARTICLE_TAGS and not skip_from:
+            open_articles.append((len(stack), len(article_sizes)))
+            article_sizes.append([0, within])
         path = tuple(p for t, p in zip(stack, steps) if t not in INLINE or t == "a")
-    return found
+    stay = {i for i, n in enumerate(sizes) if n >= MOST * total}
+    most, around = max(article_sizes, key=lambda a: a[0], default=(0, ()))
+    if around and 2 * most >= sum(len(" ".join(raw.split())) for _, _, raw, marks in found if stay.issuperset(marks)):
+        stay.update(around)
+    return [f[:3] for f in found if stay.issuperset(f[3])]
 
 
 def scores(found: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], float]:

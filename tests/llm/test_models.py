@@ -118,3 +118,14 @@ def test_article_marks_do_not_bypass_the_threshold():
     assert extraction.main_text(f'<body><div class="post"><h2>Heading</h2>{story}</div>{teaser}</body>') == f"Heading {plain}"
     junk = '<div class="x7">Filed under Politics Economy World</div><div class="x8"><a href=1>Print</a> <a href=2>Mail</a></div>'
     assert extraction.main_text(f"<body><article><h1>Heading</h1>{story}{junk}</article></body>") == f"Heading {plain}"
+
+
+def test_a_word_of_a_wrapper_takes_nothing_with_it():
+    story = "<h1>Heading</h1>" + "".join(f"<p>Paragraph {i} of the story is long enough, with points, and it goes on.</p>" for i in range(5))
+    want = " ".join(re.sub("<[^>]*>", " ", story).split())
+    side = '<div class="sidebar"><p>Sidebar text, here. More text, about things.</p></div>'
+    talk = '<section class="comments"><article><p>Great post, thanks! I liked it.</p></article></section>'
+    for wrapper in ('div class="content has-sidebar"', 'div class="layout no-comments"', 'section class="social-history"'):
+        for inner in (story, f"<article>{story}</article>"):
+            assert extraction.main_text(f"<body><{wrapper}>{inner}{side}{talk}</{wrapper.split()[0]}><footer>Copyright, all.</footer></body>") == want
+    assert extraction.main_text(f'<body><div class="post">{story}</div>{side}{talk}</body>') == want
