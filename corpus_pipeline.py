@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from quire.llm import decontaminate, jaccard, mixing, suffixes, toxicity
 from quire.llm.common import fold, shared_folder, table
 
+#: Words of the shortest passage that the suffix stage cuts out.
+REPEATED_WORDS = 51
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifiers reject go; they learn from the labelled rows of ``documents`` outside the held-out fold."""
@@ -23,8 +26,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that repeat are cut out of all texts; every document stays, with ``n_chars`` as it is now."""
-    return suffixes.trimmed(docs)
+    """Passages of over 50 words that repeat, and strings of op8's length, are cut out of all texts; every document stays, with ``n_chars`` as it is now."""
+    return suffixes.trimmed(docs, words=REPEATED_WORDS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import pick, spooled, table, width
 
 LENGTH = 400
+#: Bytes of a word's code, where repeats are counted in words.
+CODE = 4
+SEPARATED = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Starts that are cut at a time in a very long text.
 PIECE = 1 << 20
 #: Bytes of contexts that are sorted at a time, and different contexts of one anchor from which on they are dealt to many tasks.
@@ -291,16 +295,42 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.drop("text") if digest_only else out
 
 
-def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated strings of ``length`` bytes cut out of their texts; see ``without_repeats``.
+def coded(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, text as binary) with a code of ``CODE`` bytes, a hash, in place of each word, so that runs of words are strings of one length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh32_digest
+        for batch in batches:
+            codes = [b"".join(map(digest, text.split())) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], ["key", "text"])
+
+    return rows.mapInArrow(run, "key long, text binary")
+
+
+def word_spans(text: bytes, ranges: list[dict], words: int) -> list[tuple[int, int]]:
+    """The runs of bytes from the first to the last word of the repeats that start at ``ranges`` of the text's codes; between codes none starts."""
+    own = [(lo, hi) for lo, hi in ((-(-r["lo"] // CODE), r["hi"] // CODE) for r in ranges) if lo <= hi]
+    places = [m.span() for m in SEPARATED.finditer(text)] if own else []
+    return [(places[lo][0], places[hi + words - 1][1]) for lo, hi in own]
+
+
+def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", chars_col: str = "n_chars", length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """``docs`` with the repeated strings of ``length`` bytes, and the repeated runs of ``words`` words, cut out of their texts; see ``without_repeats``.
+
+    Runs of words repeat whatever white space is between the words, and equal hashes of words count as equal words.
     All rows and columns stay; ``chars_col``, if there is one, is set to the new number of characters. A null text stays null.
     """
     names = docs.columns
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
     at, own = names.index(text_col), f"_{names.index(text_col)}"
     flat = flat.withColumn("key", F.xxhash64(f"_{names.index(id_col)}", own))
-    found = spooled(repeats(flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text")), length).withColumnRenamed("key", "_key"))
+    rows = flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text"))
+    tagged = lambda found, by_words: found.select(F.col("key").alias("_key"), F.transform("ranges", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), F.lit(by_words).alias("words"))).alias("ranges"))
+    found = tagged(repeats(rows, length), False)
+    if words:
+        found = found.unionByName(tagged(repeats(spooled(coded(rows)), CODE * words), True))
+        found = found.groupBy("_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    found = spooled(found)
     joined = with_ranges(flat, found).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +339,10 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
             for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 if ranges:
                     text, kept, last = texts[i].encode(), [], 0
-                    for lo, hi in spans(ranges, length, len(text)):
+                    gone = spans([r for r in ranges if not r["words"]], length, len(text))
+                    for lo, hi in sorted(gone + word_spans(text, [r for r in ranges if r["words"]], words)):
                         kept.append(text[last:lo])
-                        last = hi
+                        last = max(last, hi)
                     texts[i] = b"".join([*kept, text[last:]]).decode("utf-8", "ignore")
             yield batch.set_column(at, own, pa.array(texts, batch.column(at).type)).select(names_in)
 
