@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +37,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one where none is set, as in tests on one machine."""
+    """The checkpoint folder that all executors share; a temporary one where none is set and the executors are threads of this process, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
@@ -48,11 +53,36 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def spooled(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table in the shared checkpoint folder, and read from there: smaller than a checkpoint for many rows."""
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files behind: nothing reads them again once the result is in the shared folder."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def spooled(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared checkpoint folder, and read from there: smaller than a checkpoint for many rows.
+
+    ``by`` is a column whose values get folders of their own, so that a filter on it reads nothing else.
+    """
     path = f"{shared_folder(df.sparkSession)}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_removed(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.spool = path
+    return made
+
+
+def discard(made: DataFrame, part: str = "") -> None:
+    """Deletes what ``spooled`` wrote, or a part of it (``column=value``), once nothing reads it any more."""
+    jvm, context = made.sparkSession.sparkContext._jvm, made.sparkSession.sparkContext._jsc
+    path = jvm.org.apache.hadoop.fs.Path(made.spool + (f"/{part}" if part else ""))
+    path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:
