@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of their shingles, joined on prefixes."""
+"""Near-duplicates by the similarity of their shingle sets: tries of fingerprints joined with themselves, then exact verification."""
 
 from __future__ import annotations
 
@@ -12,10 +12,18 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import pick, spooled
 from quire.llm.components import components
+from quire.llm.simhash import forest, traverse
 from quire.llm.suffixes import likely
 
 WORDS = 5
 LEAST = 0.8
+#: Differing bits of 64 up to which two fingerprints are looked at. Sets that are similar enough differ in each bit with a chance of about 0.15, 0.19 at
+#: the most, so more bits than these differ in fewer than one of a million such pairs of small sets, of 10^9 of larger ones.
+BUDGET = 28
+#: Entries of prefixes that a task joins at once, shingles of a task's texts, pairs that are looked at together.
+HELD_ROWS = 1 << 17
+CELL = 4_000_000
+AT_ONCE = 4096
 #: One text in so many tells which shingles are frequent; that often there, and so many of them at most.
 SAMPLE = 32
 OFTEN = 3
@@ -35,6 +43,14 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the different shingles' hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
     """The first of the hashes in one order of all, the frequent last: two sets whose similarity is ``least`` or more share one of theirs."""
     n = len(hashes)
@@ -59,71 +75,117 @@ def frequent_shingles(rows: DataFrame, words: int, sample: int = SAMPLE) -> np.n
     return np.sort(counts.select("hash").toArrow().column("hash").to_numpy().view(np.uint64))
 
 
-def paired(keys: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: float) -> np.ndarray:
-    """(u, v) of rows, ordered by hash and size, that share their hash and whose sizes allow a similarity of ``least``."""
-    found, first = [], np.arange(len(keys))
-    for step in range(1, len(keys)):
-        first = first[first + step < len(keys)]
-        first = first[(hashes[first] == hashes[first + step]) & (sizes[first] >= least * sizes[first + step] - 1e-9)]
-        if not len(first):
-            break
-        u, v = keys[first], keys[first + step]
-        found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-        if len(found) > 64:
-            found = [np.unique(np.concatenate(found), axis=0)]
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v) links between text keys of ``nodes`` (text_key, fp, prefix) that connect all that share a shingle of their prefixes and have fingerprints within ``BUDGET``.
 
-def similar(rows: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
-    """(u, v) of all text keys of ``nodes`` (text_key, size, prefix) whose texts, in ``rows``, are similar enough."""
-    each = nodes.select("text_key", "size", F.explode("prefix").alias("hash")).repartition("hash").sortWithinPartitions("hash", "size")
+    The texts of one shingle are a binary trie by their fingerprints, which is joined with itself; a task gives the links of a spanning forest of
+    all its shingles' pairs, at most one a text, never all pairs.
+    """
+    each = nodes.select("text_key", "fp", F.explode("prefix").alias("hash")).repartition("hash").sortWithinPartitions("hash", F.expr("fp ^ shiftleft(1L, 63)"))
+
+    def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.Table.from_batches(parts)
+        key, hashes, fps = both.column("text_key").to_numpy(), both.column("hash").to_numpy(), both.column("fp").to_numpy().view(np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        end = np.append(first[1:], len(hashes))
+        many = end - first > 1
+        first, end = first[many], end[many]
+        texts, own = np.unique(key, return_inverse=True)
+        pairs = np.stack([first, end, first, end, np.zeros_like(first)], 1)
+        root = forest(len(texts), ((own[i], own[j]) for i, j in traverse(fps, pairs, 0, BUDGET)))
+        linked = np.flatnonzero(root != np.arange(len(texts)))
+        return pa.RecordBatch.from_arrays([pa.array(texts[linked]), pa.array(texts[root[linked]])], ["u", "v"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            both = pa.Table.from_batches(parts)
-            own = paired(*(both.column(c).to_numpy() for c in ("text_key", "hash", "size")), least)
-            return pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1])], ["u", "v"])
-
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             hashes = batch.column("hash").to_numpy()
-            last = int(np.searchsorted(hashes, hashes[-1]))  # a hash stays in one piece
-            if last or held and held[-1].column("hash")[-1].as_py() != hashes[0]:
+            last = int(np.searchsorted(hashes, hashes[-1]))  # a shingle stays in one piece
+            if rows >= HELD_ROWS and (last or held[-1].column("hash")[-1].as_py() != hashes[0]):
                 yield made([*held, batch.slice(0, last)])
-                held = []
-            held.append(batch.slice(last))
+                held, rows, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            rows += batch.num_rows
         if held:
             yield made(held)
 
-    pairs = spooled(each.mapInArrow(join, "u long, v long").distinct())
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("_key")).distinct()
-    test = likely(asked, pairs.count() * 2, "_key")
-    texts = rows.filter(test(F.col("text_key"))).join(asked, F.col("text_key") == F.col("_key"), "left_semi").dropDuplicates(["text_key"])
-    texts = spooled(texts.select("text_key", "text"))
-    a, b = texts.select(F.col("text_key").alias("u"), F.col("text").alias("a")), texts.select(F.col("text_key").alias("v"), F.col("text").alias("b"))
+    return each.mapInArrow(join, "u long, v long").distinct()
+
+
+def verified(texts: list[bytes], words: int, least: float) -> np.ndarray:
+    """The least index that each text is linked with over pairs that are similar enough; pairs that other pairs have linked already are not looked at."""
+    sets = [shingles(t, words) for t in texts]
+    fps = np.array([fingerprint(s) for s in sets], np.uint64)
+    order = np.argsort(fps, kind="stable")
+    root = np.arange(len(texts))
+    n = len(texts)
+    for i, j in traverse(fps[order], np.array([[0, n, 0, n, 0]]), 0, BUDGET):
+        i, j = order[i], order[j]
+        for at in range(0, len(i), AT_ONCE):
+            a, b = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+            apart = root[a] != root[b]
+            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                if root[x] != root[y]:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both >= least * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                        low, high = sorted((root[x], root[y]))
+                        root[root == high] = low
+    return root
+
+
+def similar(rows: DataFrame, nodes: DataFrame, words: int, least: float, cell: int = CELL) -> DataFrame:
+    """(u, v) links between text keys of ``nodes`` whose texts, in ``rows``, are similar enough; they connect all such.
+
+    Each text that has a candidate goes, once, to the task of all that candidates connect it with. Where those have more than ``cell`` shingles, they
+    are cut into blocks, and a task has two blocks.
+    """
+    asked = spooled(components(candidates(nodes)))
+    asked = asked.unionByName(asked.select(F.col("root").alias("node"), "root").distinct())
+    asked = nodes.select("text_key", "size").join(asked, F.col("text_key") == F.col("node")).select(F.col("text_key").alias("_key"), "size", "root")
+    blocks = asked.groupBy("root").agg(F.ceil(F.sum("size") / cell).cast("int").alias("blocks")).filter("blocks > 1").withColumnRenamed("root", "_root")
+    asked = asked.join(blocks, F.col("root") == F.col("_root"), "left").select("_key", "root", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    asked = spooled(asked)
+    test = likely(asked, asked.count(), "_key")
+    texts = rows.filter(test(F.col("text_key"))).join(asked, F.col("text_key") == F.col("_key")).dropDuplicates(["text_key"])
+    own = F.pmod("text_key", "blocks").cast("int")
+    texts = texts.select("text_key", "text", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    texts = texts.select("text_key", "text", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(*(batch.column(c).cast(pa.large_binary()).to_pylist() for c in ("a", "b"))):
-                x, y = shingles(x or b"", words), shingles(y or b"", words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        held, keys, texts = None, [], []
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+        def made() -> pa.RecordBatch:
+            root = verified(texts, words, least)
+            at = np.flatnonzero(root != np.arange(len(root)))
+            own = np.array(keys, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[root[at]])], ["u", "v"])
 
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST) -> DataFrame:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for root, low, high, key, text in zip(*(part.column(c).to_pylist() for c in ("root", "low", "high", "text_key")), part.column("text").cast(pa.large_binary()).to_pylist()):
+                    if (root, low, high) != held:
+                        if len(keys) > 1:
+                            yield made()
+                        held, keys, texts = (root, low, high), [], []
+                    keys.append(key)
+                    texts.append(text or b"")
+        if len(keys) > 1:
+            yield made()
+
+    return texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "text_key").mapInArrow(verify, "u long, v long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, cell: int = CELL) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the least id's (nulls last), repeated rows counting once.
 
     Rows are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``least`` or more, and groups are what links
-    connect. Fingerprints of such pairs differ in up to some 20 of 64 bits, too many for tries; so two sets
-    are compared if they share a shingle among the first of each, which no similar pair fails to, and if their sizes
-    allow it. Equal sets are one node, so copies, however many, are never expanded into pairs.
+    connect. Fingerprints of such pairs differ in up to some 20 of 64 bits, too many for tries of all fingerprints; so there is a
+    trie for each shingle, of the texts that have it among the first of their set, which no similar pair fails to share. What is left of the
+    tries' self-joins is verified on the sets. Equal sets are one node, so copies, however many, are never expanded into pairs.
 
     Null, empty or blank text: no shingles, one group. Empty table: no rows. All columns stay.
     """
@@ -133,19 +195,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or b"", words) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            size = pa.array([len(s) for s in sets], pa.int32())
-            first = pa.array([prefix(s, frequent.value, least).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node), size, first], ["doc_id", "text_key", "node", "size", "prefix"])
-
-    prints = spooled(rows.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, prefix array<long>"))
-    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = spooled(nodes.select(F.col("kept.text_key").alias("text_key"), "kept", "size", "prefix"))
-    roots = components(similar(rows.select("text_key", "text"), nodes, words, least))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(t or b"", words) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
+                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+                size = pa.array([len(s) for s in sets], pa.int32())
+                first = pa.array([(prefix(s, frequent.value, least) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(node), size, pa.array(fp), first], ["doc_id", "text_key", "node", "size", "fp", "prefix"])
+
+    prints = rows.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, fp long, prefix array<int>")
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
+    nodes = spooled(nodes.select(F.col("kept.text_key").alias("text_key"), "kept", "size", "fp", "prefix"))
+    roots = components(similar(rows.select("text_key", "text"), nodes, words, least, cell))
     rooted = nodes.select("text_key", "kept").join(roots, F.col("text_key") == F.col("node"), "left")
     kept = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min("kept").alias("_kept"))
-    kept = kept.select(F.xxhash64("_kept.doc_id", "_kept.text_key").alias("_key"))
+    kept = spooled(kept.select(F.xxhash64("_kept.doc_id", "_kept.text_key").alias("_key")))
     names = docs.columns
     flat = docs.toDF(*[f"__{i}" for i in range(len(names))])
     own = F.xxhash64(f"__{names.index(id_col)}", F.xxhash64(f"__{names.index(text_col)}"))
