@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,9 +103,25 @@ def fold(id_: Column, folds: int) -> Column:
 
 
 def thinned(rows: DataFrame, most: int, seed: int, count: int | None = None) -> DataFrame:
-    """About ``most`` of the rows (all, if there are fewer), chosen by a seeded hash of all columns, so reruns agree; twice ``most`` at the utmost."""
+    """About ``most`` of the rows, or all if there are fewer, repeated rows once: those whose seeded hash is low, so reruns agree."""
     count = rows.count() if count is None else count
-    if count <= most:
-        return rows
-    chance = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) < int(most / count * (1 << 30))
-    return rows.filter(chance).limit(2 * most)
+    if count > most:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1 << 30)) < int(most / count * (1 << 30)))
+    return rows.dropDuplicates()
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that little of a batch of long texts is unpacked at a time; after the last, unused memory goes back."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Hands freed memory back to the system: Python workers are used again, and what one task took would stay with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, table
+from quire.llm.common import pick, sliced, table
 from quire.llm.suffixes import rolling
 
 #: Edits allowed, as a share of an item's characters, and the longest gram.
@@ -206,7 +206,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = Index.of(index.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 found = own.find(batch.column("text").to_pylist())
                 cols = list(zip(*found)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[4], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "edits", "begin", "end"])
@@ -228,7 +228,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = Index.of(index.value)
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in own.find(batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(keep))

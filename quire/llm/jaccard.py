@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, spooled
+from quire.llm.common import pick, release, sliced, spooled
 from quire.llm.components import components
 from quire.llm.simhash import forest, traverse
 from quire.llm.suffixes import likely
@@ -65,7 +65,7 @@ def frequent_shingles(rows: DataFrame, words: int, sample: int = SAMPLE) -> np.n
     """Sorted hashes of shingles that a sample of the texts has often. They only order prefixes, so what they miss costs time and no pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [shingles(t or b"", words) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], ["hash"])
@@ -111,6 +111,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             rows += batch.num_rows
         if held:
             yield made(held)
+        release()
 
     return each.mapInArrow(join, "u long, v long").distinct()
 
@@ -163,18 +164,17 @@ def similar(rows: DataFrame, nodes: DataFrame, words: int, least: float, cell: i
             own = np.array(keys, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[root[at]])], ["u", "v"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                for root, low, high, key, text in zip(*(part.column(c).to_pylist() for c in ("root", "low", "high", "text_key")), part.column("text").cast(pa.large_binary()).to_pylist()):
-                    if (root, low, high) != held:
-                        if len(keys) > 1:
-                            yield made()
-                        held, keys, texts = (root, low, high), [], []
-                    keys.append(key)
-                    texts.append(text or b"")
+        for batch in sliced(batches):
+            for root, low, high, key, text in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "text_key")), batch.column("text").cast(pa.large_binary()).to_pylist()):
+                if (root, low, high) != held:
+                    if len(keys) > 1:
+                        yield made()
+                    held, keys, texts = (root, low, high), [], []
+                keys.append(key)
+                texts.append(text or b"")
         if len(keys) > 1:
             yield made()
+        release()
 
     return texts.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "text_key").mapInArrow(verify, "u long, v long")
 
@@ -194,15 +194,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [shingles(t or b"", words) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
-                node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
-                size = pa.array([len(s) for s in sets], pa.int32())
-                first = pa.array([(prefix(s, frequent.value, least) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(node), size, pa.array(fp), first], ["doc_id", "text_key", "node", "size", "fp", "prefix"])
+        for batch in sliced(batches):
+            sets = [shingles(t or b"", words) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            size = pa.array([len(s) for s in sets], pa.int32())
+            first = pa.array([(prefix(s, frequent.value, least) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node), size, pa.array(fp), first], ["doc_id", "text_key", "node", "size", "fp", "prefix"])
 
     prints = rows.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, fp long, prefix array<int>")
     nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])

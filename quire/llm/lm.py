@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, fold, pick, spooled, table
+from quire.llm.common import discard, fold, pick, release, spooled, table
 
 #: Bytes of text of a bucket of documents, and of a shard of the vocabulary and of the contexts.
 BUCKET_BYTES = 16 << 20
@@ -230,12 +230,15 @@ class Bucket:
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         self.words = [words[i] for i in order]
-        self.tokens = rank[np.concatenate(codes)]
+        self.tokens = rank[np.concatenate(codes)].astype(np.int32)
+        del codes, number
         learn = np.repeat(np.array(learn, bool), self.sizes)
         self.counts = np.bincount(self.tokens[learn], minlength=len(words))
         # every text ends with the empty word, which is also what stands before the first word of one
-        before = np.concatenate((rank[:1], self.tokens[:-1]))
-        pairs, self.pair_of = np.unique(before * len(words) + self.tokens, return_inverse=True)
+        before = np.concatenate((rank[:1], self.tokens[:-1].astype(np.int64)))
+        pairs, pair_of = np.unique(before * len(words) + self.tokens, return_inverse=True)
+        self.pair_of = pair_of.astype(np.int32)
+        del before, pair_of
         self.before, self.after = pairs // len(words), pairs % len(words)
         self.pair_counts = np.bincount(self.pair_of[learn], minlength=len(pairs))
         self.ids = ids_of(self.words)
@@ -278,6 +281,8 @@ def requests(rows: DataFrame, buckets: int, shards: int, hot: np.ndarray) -> Dat
                 blobs.append(blob)
         if bucket is not None:
             yield flush(bucket, blobs)
+        del blobs
+        release()
 
     ordered = bucketed(rows, buckets).repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, ASK_SCHEMA)
@@ -315,6 +320,8 @@ def by_shard(asked: DataFrame, shards: int, work, schema: str) -> DataFrame:
                 parts.append(part)
         if shard is not None:
             yield from work(shard, parts)
+        del parts
+        release()
 
     return asked.select(*ASK).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "bucket").mapInArrow(run, schema)
 
@@ -542,6 +549,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                     said[what][shard] = rest[:3]
         if blobs:
             yield scored(blobs, said)
+        del blobs, said
+        release()
 
     both = bucketed(rows, buckets).unionByName(found.filter(F.col("kind") == OF_CONTEXTS).select(*REPLY)).unionByName(replies.filter("bucket >= 0"))
     ordered = both.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind")

@@ -12,10 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, spooled, table, width
+from quire.llm.common import discard, pick, release, sliced, spooled, table, width
 
 LENGTH = 400
 #: Bytes of a word's code, where repeats are counted in words.
@@ -85,27 +84,59 @@ def segments(text: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield first + at, np.append(first[1:], len(place)) - 1 + at, hashes[place[first]].view(np.int64)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position as one number."""
+    wide = data.astype(U)
+    for size in (1, 2, 4):
+        wide = (wide[:-size] << U(8 * size)) | wide[size:]
+    return wide
+
+
 def repeated(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
     """Which suffixes of ``data`` at ``starts`` share their first ``length`` bytes with another of their group.
 
     Multikey quicksort for all groups at once: suffixes are sorted by one token of an eighth of
-    ``length``, and those with an equal go on, among their equals, to the next token.
+    ``length``, and those with an equal go on, among their equals, to the next token. Tokens are compared by fingerprints; what is left together in the end is
+    compared byte by byte.
     """
     token = max(1, length // 8)
     hashes = rolling(data, token)
     alive = np.arange(len(starts))
-    with np.errstate(over="ignore"):
-        for offset in [*range(0, length - token, token), length - token]:
-            key = (group.astype(U) * U(0xD6E8FEB86659FD93)) ^ hashes[starts[alive] + offset]
-            order = np.argsort(key)
-            key, alive = key[order], alive[order]
-            new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-            ids = np.cumsum(new) - 1
-            keep = np.bincount(ids)[ids] > 1 if len(ids) else new
-            alive, group = alive[keep], ids[keep]
-    out = np.zeros(len(starts), bool)
-    out[alive] = True
-    return out
+    for offset in [*range(0, length - token, token), length - token]:
+        alive, group = sifted(alive, group, hashes[starts[alive] + offset])
+    return np.isin(np.arange(len(starts)), exact(data, starts, alive, group, length), assume_unique=True)
+
+
+def sifted(alive: np.ndarray, group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those that share group and key with another, sorted, and their new groups."""
+    order = np.lexsort((key, group))
+    key, group, alive = key[order], group[order], alive[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1]))) if len(key) else np.zeros(0, bool)
+    ids = np.cumsum(new) - 1
+    keep = np.bincount(ids)[ids] > 1 if len(ids) else new
+    return alive[keep], ids[keep]
+
+
+def exact(data: np.ndarray, starts: np.ndarray, alive: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Of the suffixes with equal fingerprints, those that have an equal in their bytes: all are held against their group's first, and groups with one that differs are sorted by bytes."""
+    if not len(alive):
+        return alive
+    step = min(8, length)
+    words = eights(data) if step == 8 else data
+    new = np.concatenate(([True], group[1:] != group[:-1]))
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    differs = np.zeros(len(alive), bool)
+    offsets = [*range(0, length - step, step), length - step]
+    for offset in offsets:
+        own = words[starts[alive] + offset]
+        differs |= own != own[first]
+    if not differs.any():
+        return alive
+    doubtful = np.isin(group, group[differs])
+    again, ids = alive[doubtful], group[doubtful]
+    for offset in offsets:
+        again, ids = sifted(again, ids, words[starts[again] + offset])
+    return np.concatenate((alive[~doubtful], again))
 
 
 def runs(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +164,7 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     """(key, ranges) of the rows (key, text as binary) that hold starts of repeated strings; ranges: (first start, last start)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             parts = []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 for first, last, anchor in segments(text, length):
@@ -145,13 +176,12 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(anchor), pa.array(own)], ["key", "first", "last", "anchor", "own"])
 
     places = spooled(rows.filter(F.octet_length("text") >= length).mapInArrow(cut, "key long, first int, last int, anchor long, own long"))
-    kinds = (
-        places.groupBy("anchor", "own")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("rep"))
-        .withColumn("kinds", F.count(F.lit(1)).over(W.partitionBy("anchor")))
-        .filter("n > 1 OR kinds > 1")
-    )
-    kinds = spooled(kinds.select("anchor", "own", "n", "kinds", "rep.*"))
+    every = spooled(places.groupBy("anchor", "own").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("rep")))
+    # counted first, so that an anchor with very many different runs is never one task's: the join that tells them so is split where it is skewed
+    several = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").withColumnRenamed("anchor", "_anchor")
+    kinds = every.join(several, F.col("anchor") == F.col("_anchor"), "left").filter("n > 1 OR kinds > 1")
+    kinds = spooled(kinds.select("anchor", "own", "n", F.coalesce("kinds", F.lit(1)).alias("kinds"), "rep.*"))
+    discard(every)
     known = kinds.filter("n > 1").select("anchor", "own", F.lit(0).alias("lo"), (F.col("last") - F.col("first")).alias("hi"))
     open_, widest = kinds.filter("kinds > 1").agg(F.count(F.lit(1)), F.max("kinds")).first()
     asked = kinds.filter("kinds > 1").select(F.col("key").alias("_key"), "first", "last", "anchor", "own", "n", "kinds")
@@ -190,6 +220,7 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
                 size += pc.sum(pc.binary_length(part.column("context"))).as_py() or 0
         if held:
             yield compare(held)
+        release()
 
     found = "anchor long, own long, lo int, hi int"
     narrow = contexts.filter(F.col("kinds") <= hot).drop("kinds")
@@ -277,7 +308,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = with_ranges(rows, found).select("doc_id", "key", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made: list[tuple] = []
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 gone = spans(ranges or [], length, len(text))
@@ -300,7 +331,7 @@ def coded(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh32_digest
-        for batch in batches:
+        for batch in sliced(batches):
             codes = [b"".join(map(digest, text.split())) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(codes, pa.binary())], ["key", "text"])
 
@@ -328,13 +359,14 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
     tagged = lambda found, by_words: found.select(F.col("key").alias("_key"), F.transform("ranges", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), F.lit(by_words).alias("words"))).alias("ranges"))
     found = tagged(repeats(rows, length), False)
     if words:
-        found = found.unionByName(tagged(repeats(spooled(coded(rows)), CODE * words), True))
+        codes = spooled(coded(rows))
+        found = found.unionByName(tagged(repeats(codes, CODE * words), True))
         found = found.groupBy("_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     found = spooled(found)
     joined = with_ranges(flat, found).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             for i, ranges in enumerate(batch.column("ranges").to_pylist()):
                 if ranges:

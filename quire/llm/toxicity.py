@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, fold, pick, table, thinned, width
+from quire.llm.common import durable, fold, pick, release, sliced, table, thinned, width
 
 #: Bounds of what the classifiers are fitted on: toxic texts, unlabelled texts, features.
 MOST_TOXIC = 6_000
@@ -21,14 +21,17 @@ MOST_FEATURES = 20_000
 #: A feature needs this logarithm of its share among toxic texts over that among others, and so many toxic texts.
 LEAST_RATIO = 1.5
 LEAST_TEXTS = 8
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7)
+#: Words with one beginning are dense from this many on, if they are this part of a text's words.
+TWICE = 2
+DENSE = 0.01
 THRESHOLD = 0.7
 CLASSIFIERS = 3
 STEPS = 400
 WORDS = re.compile(r"[^\W\d_]+")
-CACHE = 100_000
+CACHE = 50_000
 #: Features that a task counts before it hands them on.
-HELD = 200_000
+HELD = 100_000
 
 
 def of_word(word: str) -> list[str]:
@@ -36,13 +39,26 @@ def of_word(word: str) -> list[str]:
     return [word + "$", *[word[:n] for n in PREFIXES if len(word) >= n]]
 
 
-def features(text: str) -> set[str]:
-    found: set[str] = set()
-    for word in set(WORDS.findall(text.lower())):
-        found.update(of_word(word))
+def marked(pieces: Counter, words: int) -> set[str]:
+    """The features of a text of so many words with these pieces: each that it has, and whether it has it more than once, and densely."""
+    found = set(pieces)
+    for piece, n in pieces.items():
+        if n >= TWICE:
+            found.add(piece + "*")
+            if n >= DENSE * words:
+                found.add(piece + "%")
     return found
 
 
+def features(text: str) -> set[str]:
+    words = Counter(WORDS.findall(text.lower()))
+    pieces: Counter = Counter()
+    for word, n in words.items():
+        for piece in of_word(word):
+            pieces[piece] += n
+    return marked(pieces, words.total())
+
+
 def sketch(text: str) -> int:
     """The least hash of the text's three-word shingles, which copies and most near copies share."""
     words = text.split()
@@ -77,7 +93,9 @@ def train(owner: np.ndarray, feature: np.ndarray, ratio: np.ndarray, positive: n
         slope[used] = non_negative_step(g[used], positive[used], prior)
         down = np.append(np.bincount(feature, slope[owner] * ratio[feature], len(ratio)) + 1e-5 * weights[:-1], slope.sum())
         mean, square = 0.9 * mean + 0.1 * down, 0.99 * square + 0.01 * down * down
+        # features were chosen as typical of toxic texts, so none of them speaks against it
         weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
+        weights[:-1] = np.maximum(weights[:-1], 0.0)
     return np.append(weights[:-1] * ratio, weights[-1])
 
 
@@ -96,12 +114,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     prior = min(max(toxic / total, 1e-4), 0.9)
     rows = pick(docs, doc_id=id_col, text=text_col).filter("text IS NOT NULL").filter(learn)
     ids = thinned(marks.filter("toxic = 1").select("doc_id").distinct(), MOST_TOXIC, 1, toxic)
-    confirmed = rows.join(F.broadcast(ids), "doc_id", "left_semi").limit(2 * MOST_TOXIC)
+    confirmed = thinned(rows.join(F.broadcast(ids), "doc_id", "left_semi"), 2 * MOST_TOXIC, 3)
     unlabelled = thinned(rows, MOST_UNLABELLED, 2)
     sample = confirmed.select("text", F.lit(True).alias("positive")).unionByName(unlabelled.select("text", F.lit(False).alias("positive")))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("positive"), pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.int64())], ["text", "positive", "sketch"])
 
     # of copies one is enough: else what a group of them happens to share would look typical
@@ -116,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
             own[True].clear(), own[False].clear()
             return pa.RecordBatch.from_arrays([pa.array([f for f, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], ["feature", "toxic"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for positive, text in zip(batch.column("positive").to_pylist(), batch.column("text").to_pylist()):
                 own[positive].update(features(text))
                 own[positive][""] += 1
@@ -139,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     number = {f: i for i, f in enumerate(ratio)}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [sorted(number[f] for f in features(t) if f in number) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int32()))], ["positive", "found"])
 
@@ -150,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         feature = np.array([i for _, f in texts for i in f], np.int64)
         weights = np.mean([train(owner, feature, np.array(list(ratio.values())), positive, prior, seed) for seed in range(CLASSIFIERS)], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([*ratio, ""]), pa.array(weights)], ["feature", "weight"])
+        del texts, owner, feature
+        release()
 
     reduced = sample.mapInArrow(reduce, "positive boolean, found array<int>").repartition(1)
     return {f: w for f, w in reduced.mapInArrow(learnt, "feature string, weight double").collect()}
@@ -160,20 +180,22 @@ class Scorer:
 
     def __init__(self, weights: dict[str, float]):
         self.weights, self.seen = weights, {}
+        self.pieces = {f.rstrip("*%") for f in weights}
 
     def score(self, text: str | None) -> float:
         if not self.weights:
             return 0.0
-        seen, weights, hits = self.seen, self.weights, set()
-        for word in set(WORDS.findall((text or "").lower())):
+        seen, weights, pieces, n = self.seen, self.weights, {}, 0
+        for word, times in Counter(WORDS.findall((text or "").lower())).items():
+            n += times
             own = seen.get(word)
             if own is None:
                 if len(seen) >= CACHE:
                     seen.clear()
-                own = seen[word] = tuple(f for f in of_word(word) if f in weights)
-            if own:
-                hits.update(own)
-        g = weights[""] + sum(weights[f] for f in sorted(hits))
+                own = seen[word] = tuple(f for f in of_word(word) if f in self.pieces)
+            for piece in own:
+                pieces[piece] = pieces.get(piece, 0) + times
+        g = weights[""] + sum(weights.get(f, 0.0) for f in sorted(marked(pieces, n)))
         return float(1 / (1 + np.exp(-min(40.0, max(-40.0, g)))))
 
 
@@ -188,7 +210,7 @@ def scored(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
-        for batch in batches:
+        for batch in sliced(batches):
             scores = np.array([scorer.score(t) for t in batch.column("text").to_pylist()], float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -196,13 +218,17 @@ def scored(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", t
 
 
 def without_toxic(docs: DataFrame, weights: dict[str, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score is at least ``threshold``."""
+    """``docs`` without the rows whose score is at least ``threshold``.
+
+    Null or empty text: the score of a text without words, which the model's bias alone gives. No model: all rows stay. Repeated rows go or stay together.
+    Empty table: no rows. All columns stay, whatever their names.
+    """
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     flat = docs.toDF(*[f"_{i}" for i in range(len(names))])
