@@ -56,3 +56,22 @@ def test_stage_with_nulls_repeats_and_nothing(spark):
     docs = spark.createDataFrame([(None, "x"), (None, "x"), (1, None), (2, ""), (3, "y z"), (3, "y z")], "doc_id long, text string")
     assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()), key=repr) == [(1, None), (3, "y z"), (None, "x")]
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_cells_of_blocks_lose_nothing(spark):
+    rows = near_texts()
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), cell=150).collect()
+    assert sorted(r.doc_id for r in got) == sorted(slow_kept(rows))
+
+
+def test_similar_sets_differ_within_the_budget():
+    rng = random.Random(8)
+    for n in [4, 5, 9, 20, 100, 500] * 60:
+        words = [rng.randrange(10**9) for _ in range(n + 4)]
+        other = words[: max(1, n // 10)] + [-x for x in words[max(1, n // 10) :]]
+        kept = int(0.8 * n)
+        a = " ".join(map(str, words))
+        b = " ".join(map(str, words[: kept + 4] + other[kept + 4 :]))
+        x, y = jaccard.shingles(a.encode()), jaccard.shingles(b.encode())
+        if len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)):
+            assert (jaccard.fingerprint(x) ^ jaccard.fingerprint(y)).bit_count() <= jaccard.BUDGET

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from quire.llm import suffixes
@@ -46,3 +47,15 @@ def test_trimmed_text(spark):
     assert got[3] == ("clean", 5)
     assert got[1][0].startswith("begin") and got[1][0].endswith("end") and got[1][1] == len(got[1][0]) < 20
     assert got[2][0].strip().endswith("é") and len(got[2][0]) < 10
+
+
+def test_equal_fingerprints_are_compared_byte_by_byte(monkeypatch):
+    monkeypatch.setattr(suffixes, "rolling", lambda data, k: np.zeros(len(data) - k + 1, np.uint64))
+    rng = random.Random(5)
+    for length in (5, 16, 21):
+        texts = ["".join(rng.choice("ab") for _ in range(length)) for _ in range(40)]
+        texts += texts[:7]
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        got = suffixes.repeated(data, np.arange(len(texts)) * length, np.arange(len(texts)) % 2, length)
+        count = collections.Counter((i % 2, t) for i, t in enumerate(texts))
+        assert got.tolist() == [count[i % 2, t] > 1 for i, t in enumerate(texts)]
