@@ -16,7 +16,7 @@ from quire.llm.suffixes import rolling
 #: Edits allowed, as a share of an item's characters, and the longest gram.
 EDITS = 0.08
 GRAM = 10
-#: Items shorter than this, after normalising, are too common to be a leak and never match.
+#: Items shorter than this, after normalising, must be there without an edit and as whole words.
 LEAST_CHARS = 20
 #: Characters of benchmark text in one index (about 30 bytes a character), which is broadcast; a longer benchmark is taken in several passes.
 INDEX_CHARS = 2_000_000
@@ -52,22 +52,37 @@ def gram_for(chars: int, edits: int, most: int) -> int:
     return max(1, min(most, chars // (edits + 1)))
 
 
+def word_table() -> np.ndarray:
+    """Whether each code point of the basic plane is a letter or digit."""
+    return np.array([chr(i).isalnum() for i in range(0x10000)], bool)
+
+
 class Index:
     """The grams of benchmark items, by gram length: sorted fingerprints with item and place, and a bit table to look up first."""
 
     def __init__(self, items: list[tuple[object, str]], edits: float = EDITS, gram: int = GRAM, least_chars: int = LEAST_CHARS):
         lower = fold_table()
         self.lower, self.ids, self.codes, self.edits, self.grams = lower, [], [], [], {}
-        by = defaultdict(list)
+        self.wordy, self.short = word_table(), {}
+        by, short = defaultdict(list), defaultdict(list)
         for item, text in items:
             codes = stripped(fold(text or "", lower)[0])
-            if len(codes) < max(1, least_chars):
+            if len(codes) < least_chars:
+                if self.in_word(codes).any():
+                    short[len(codes)].append(len(self.ids))
+                    self.ids.append(item)
+                    self.codes.append(codes)
+                    self.edits.append(0)
                 continue
             k = int(edits * len(codes))
             by[gram_for(len(codes), k, gram)].append(len(self.ids))
             self.ids.append(item)
             self.codes.append(codes)
             self.edits.append(k)
+        for size, own in short.items():
+            hashes = np.array([rolling(self.codes[i], size)[0] for i in own], U)
+            order = np.argsort(hashes, kind="stable")
+            self.short[size] = (hashes[order], np.array(own)[order])
         for q, own in by.items():
             hashes = [rolling(self.codes[i], q) for i in own]
             item, place = np.repeat(own, [len(h) for h in hashes]), np.concatenate([np.arange(len(h)) for h in hashes])
@@ -79,6 +94,24 @@ class Index:
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             self.grams[q] = (seen, hashes[first], first, np.append(first[1:], len(hashes)), item[order], place[order])
 
+    def in_word(self, codes: np.ndarray) -> np.ndarray:
+        return self.wordy[np.minimum(codes, 0xFFFF)] & (codes < 0x10000)
+
+    def whole_words(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, begin, end) of the places of short items: where they stand as they are, and no word goes on beyond either end."""
+        word = self.in_word(codes) if self.short else codes
+        for size, (hashes, items) in self.short.items():
+            if len(codes) < size:
+                continue
+            own = rolling(codes, size)
+            lo, hi = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+            at = np.flatnonzero(hi > lo)
+            open_ = ~((at > 0) & word[at] & word[at - 1]) & ~((at + size < len(codes)) & word[at + size - 1] & word[np.minimum(at + size, len(codes) - 1)])
+            for begin in at[open_].tolist():
+                for i in items[lo[begin] : hi[begin]].tolist():
+                    if (codes[begin : begin + size] == self.codes[i]).all():
+                        yield i, begin, begin + size
+
     @classmethod
     def of(cls, state: dict) -> Index:
         index = cls.__new__(cls)
@@ -102,6 +135,10 @@ class Index:
         codes, places = fold(END.join(texts), self.lower)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for i, begin, end in self.whole_words(codes):
+            begin, end = int(places[begin]), int(places[end - 1]) + 1
+            text = int(np.searchsorted(starts, begin, "right")) - 1
+            best.setdefault((text, i), (0, begin - int(starts[text]), end - int(starts[text])))
         for q, (seen, hashes, first, last, item, place) in self.grams.items():
             if len(codes) < q:
                 continue
@@ -195,7 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Documents are read where they lie and never shuffled. The benchmark is broadcast in pieces of bounded size,
     one pass over the documents for each.
 
-    Null or empty text: no match. Items shorter than ``least_chars``, null ones too: never matched. Null or
+    Null or empty text: no match. Items shorter than ``least_chars`` match where they stand without an edit and as whole words; null ones and
+    short ones without a letter or digit never do. Null or
     repeated ids: each row is reported for itself. Empty tables: no rows. Other columns don't matter.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -221,7 +259,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", index_chars: int = INDEX_CHARS, **params) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; see ``leaks``."""
+    """``docs`` without the rows that hold a benchmark item; see ``leaks``. Rows with a null or empty text stay; all columns stay. Empty tables: ``docs`` as it is."""
     names = docs.columns
     at = names.index(text_col)
     for index in indexes(benchmark, item_id, item_text, index_chars, **params):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -13,15 +14,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import fold, pick, table
+from quire.llm.common import fold, pick, sliced, table, width
 
-#: Bounds of what the model is fitted on: texts of a language, languages, words and n-grams of a length that are kept in all.
+#: Bounds of what the model is fitted on: texts of a language, languages (those with most texts; rarer ones are not learnt), words and n-grams of a length that are kept in all.
 MOST_TEXTS = 2_000
-MOST_LANGUAGES = 50
+MOST_LANGUAGES = 1_000
 MOST_WORDS = 120_000
 MOST_GRAMS = 40_000
+#: Numbers of the model, and of the words that a task has scored, at most: with more languages there are fewer pieces of each.
+MOST_CELLS = 20_000_000
 LONGEST = 5
-WORDS = re.compile(r"[^\W\d_]+")
+#: Letters: what counts as part of a word but for digits and other numbers.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORDS = re.compile(rf"[^\W\d_{NUMBERS}]+")
 CACHE = 400_000
 UNKNOWN = "und"
 
@@ -37,7 +42,7 @@ def counted(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in sliced(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
         for lang, own in words.items():
@@ -56,19 +61,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """The model: languages and, by size, the log10 share of each piece in each language.
 
     A piece that a language lacks costs what a piece seen half a time would. Of each language the
-    commonest words and n-grams are kept, so that the model is of bounded size.
+    commonest words and n-grams are kept, so that the model is of bounded size: of more than ``MOST_LANGUAGES`` languages those with
+    most texts are learnt, ties by name. Null texts and languages are passed over; nothing to learn from: a model of no language.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).filter("text IS NOT NULL AND lang IS NOT NULL").filter(learn)
-    by = [tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(by) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    by = [tuple(r) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     if not by:
         return {"langs": [], "index": [{}] * (LONGEST + 1), "matrix": np.zeros((0, 0), np.float32)}
     shares = docs.sparkSession.createDataFrame([(lang, min(1.0, MOST_TEXTS / n)) for lang, n in by], "lang string, share double")
     chance = F.pmod(F.xxhash64(F.lit(4), "doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    sample = rows.join(F.broadcast(shares), "lang").filter(chance).limit(2 * MOST_TEXTS * len(by))
+    sample = rows.join(F.broadcast(shares), "lang").filter(chance).select("lang", "text").dropDuplicates().repartition(width(docs.sparkSession))
     order = W.partitionBy("lang", "size").orderBy(F.desc("n"), "piece")
-    most = F.when(F.col("size") == 0, MOST_WORDS // len(by)).otherwise(MOST_GRAMS // len(by)) + 1
+    most_words, most_grams = (max(1, min(most // len(by), MOST_CELLS // (share * len(by) ** 2))) for most, share in ((MOST_WORDS, 2), (MOST_GRAMS, 2 * LONGEST)))
+    most = F.when(F.col("size") == 0, most_words).otherwise(most_grams) + 1
     kept = counted(sample).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("lang", "size", "piece", "n").toArrow()
     lang, size, piece, n = (kept.column(c).to_pylist() for c in ("lang", "size", "piece", "n"))
     langs = sorted(set(lang))
@@ -96,7 +101,8 @@ class Identifier:
 
     def __init__(self, model: dict):
         self.langs, self.index, self.known = model["langs"], model["index"], len(model["matrix"])
-        self.scores = np.zeros((self.known + CACHE, len(self.langs)), np.float32)
+        self.cache = max(1_000, min(CACHE, MOST_CELLS // max(1, len(self.langs))))
+        self.scores = np.zeros((self.known + self.cache, len(self.langs)), np.float32)
         self.scores[: self.known] = model["matrix"]
         self.forget()
 
@@ -129,15 +135,16 @@ class Identifier:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))
         names, counts = list(words), np.fromiter(words.values(), float, len(words))
-        for at in range(0, len(names), CACHE // 2):  # no more at a time than the rows kept
-            part = names[at : at + CACHE // 2]
+        half = self.cache // 2
+        for at in range(0, len(names), half):  # no more at a time than the rows kept
+            part = names[at : at + half]
             if self.next + len(part) > len(self.scores):
                 self.forget()
             rows = list(map(self.seen.get, part))
             if None in rows:
                 self.add([w for w, r in zip(part, rows) if r is None])
                 rows = list(map(self.seen.get, part))
-            total += counts[at : at + CACHE // 2] @ self.scores[rows]
+            total += counts[at : at + half] @ self.scores[rows]
         n = counts.sum()
         scores = total / n
         best = int(scores.argmax())
@@ -158,7 +165,7 @@ def identified(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Identifier(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [own.identify(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
