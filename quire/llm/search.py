@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.common import durable, pick, table
+from quire.llm.common import durable, pick, spooled, table
 
 TOP = 5
 #: Vectors of a stripe and of a bucket within one, queries of a group, longest vectors that give the first thresholds.
 STRIPE = 16_384
 BUCKET = 2_048
-GROUP = 4_096
+GROUP = 65_536
+#: Components of a group's vectors at most, and queries that meet a stripe at a time.
+GROUP_NUMBERS = 4_000_000
+QUERIES = 4_096
 SEEDS = 2_048
 #: Local cosine threshold from which on coordinates prune a bucket, and how many of them.
 COORDINATE_FROM = 0.75
@@ -36,6 +39,12 @@ def matrix(lists: pa.ChunkedArray | pa.Array, wide: int) -> np.ndarray:
     return out
 
 
+def small(rows: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the narrowest type that has them."""
+    most = max(abs(int(rows.min(initial=0))), abs(int(rows.max(initial=0))))
+    return rows.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Inner products of all rows of q and v: by double precision where that is exact, else by Python's integers, held to a long's range."""
     if not q.size or not v.size or float(np.abs(q.astype(float)).max()) * float(np.abs(v.astype(float)).max()) * q.shape[1] < EXACT:
@@ -132,8 +141,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, stripe: int = ST
     """(query_id, rank, vec_id, score) of the k vectors of highest inner product with each query, its own id excepted.
 
     Both tables have (id, vector) with whole numbers. Vectors are ranged by falling length into stripes of about ``stripe`` rows and
-    queries into groups of about ``group``; a group meets only the stripes long enough for the k-th best product that one
-    of its queries has with the longest vectors. A task gets one group and one stripe.
+    queries into groups of about ``group``; a group, of bounded size, is broadcast and meets only the stripes long enough for the k-th best product that one
+    of its queries has with the longest vectors. A stripe is a task's rows and never moves; what a group finds is at most k rows for a query and stripe.
 
     Ties go to the smaller id. A repeated row (same id and vector) counts once; rows of one id with other vectors are candidates of their
     own. A shorter vector counts as if zeros followed. Products beyond a long are held to its range. Fewer than k candidates: all.
@@ -173,20 +182,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, stripe: int = ST
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vector"), pa.array(floor), pa.array(visits)], ["id", "vector", "floor", "visits"])
 
     ready = asked.mapInArrow(first_thresholds, f"id {kind}, vector array<long>, floor double, visits int").filter("visits > 0")
-    ready = durable(ready.repartitionByRange(-(-n_q // group), "visits", "id").withColumn("group", F.spark_partition_id()))
-    left = ready.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("visits") - 1)))
-    cells = ready.groupBy("group").agg(F.max("visits").alias("most")).select("group", F.explode(F.sequence(F.lit(0), F.col("most") - 1)).alias("stripe"))
-    right = striped.join(cells, "stripe").select(F.col("group").alias("to_group"), F.col("stripe").alias("of_stripe"), "id", "vector")
-
-    def cell(queries_: pa.Table, vectors_: pa.Table) -> pa.Table:
-        if not queries_.num_rows or not vectors_.num_rows:
-            return pa.table({"query_id": queries_.column("id").slice(0, 0), "vec_id": vectors_.column("id").slice(0, 0), "score": pa.array([], pa.int64())})
-        q, v = matrix(queries_.column("vector"), wide), matrix(vectors_.column("vector"), wide)
-        q_ids, v_ids = queries_.column("id").to_numpy(), vectors_.column("id").to_numpy()
-        row, score, ids = retrieve(q, q_ids, queries_.column("floor").to_numpy(), v, v_ids, k)
-        return pa.table({"query_id": pa.array(q_ids[row]), "vec_id": pa.array(ids), "score": pa.array([int(x) for x in score], pa.int64())})
-
-    found = left.groupBy("group", "stripe").cogroup(right.groupBy("to_group", "of_stripe")).applyInArrow(cell, f"query_id {kind}, vec_id {kind}, score long")
+    size = max(1, min(group, GROUP_NUMBERS // wide))
+    ready = durable(ready.repartitionByRange(-(-n_q // size), "visits", "id").withColumn("group", F.spark_partition_id()))
+    kept = []
+    for most, number in sorted((r["most"], r["group"]) for r in ready.groupBy("group").agg(F.max("visits").alias("most")).collect()):
+        own = ready.filter(F.col("group") == number).select("id", "vector", "floor").toArrow()
+        block = spark.sparkContext.broadcast((own.column("id").to_numpy(), small(matrix(own.column("vector"), wide)), own.column("floor").to_numpy()))
+        del own
+
+        def met(batches, block=block):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                q_ids, q, floor = block.value
+                stripe_ = pa.Table.from_batches(held)
+                v_ids, v = stripe_.column("id").to_numpy(), matrix(stripe_.column("vector"), wide)
+                del held, stripe_
+                for at in range(0, len(q), QUERIES):
+                    row, score, ids = retrieve(q[at : at + QUERIES].astype(np.int64), q_ids[at : at + QUERIES], floor[at : at + QUERIES], v, v_ids, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + row]), pa.array(ids), pa.array([int(x) for x in score], pa.int64())], ["query_id", "vec_id", "score"])
+
+        found = striped.filter(F.col("stripe") < most).mapInArrow(met, f"query_id {kind}, vec_id {kind}, score long")
+        kept.append(spooled(found))
+    if not kept:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
+    found = spark.read.schema(kept[0].schema).parquet(*[f.spool for f in kept])
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
