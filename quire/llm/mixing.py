@@ -10,6 +10,7 @@ from quire.llm.common import WORD, broadcast_if, durable, pick, table
 
 BLOCK_TOKENS = 16
 SHARD_TOKENS = 4_000_000
+SHARD_ROWS = 4_000_000
 MOST_REPEATS = 3
 SEED = "mix-1"
 #: Sources of up to this many rows (one row a source) are broadcast; more are joined by shuffling.
@@ -76,11 +77,11 @@ def targets(sources: DataFrame, most: int = MOST_REPEATS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, most: int = MOST_REPEATS, seed: str = SEED, key: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, most: int = MOST_REPEATS, seed: str = SEED, key: bool = False) -> DataFrame:
     """One row per document: how many of its words a mix of the whole corpus takes.
 
     Sources get blocks of ``block_tokens`` words by Sainte-Lague; a source is cut into
-    as many shards as its size needs (``shard_tokens`` words each, so a hot source is
+    as many shards as its size needs (``shard_tokens`` words and ``shard_rows`` documents each, so a hot source is
     many shards) and its blocks are apportioned to its shards in the same way. A shard's
     documents stand in a seeded order, and the shard's quota is the first so many
     blocks of that stream, which begins again when it ends, ``most`` times at most.
@@ -97,9 +98,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     rows = durable(rows)
     sized = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most)
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("source", "_from")
     sized = sized.withColumn("_part", F.lit(0)).withColumn("_blocks", F.ceil(F.sum("source_size").over(W.partitionBy("_part")) / block_tokens).cast("long"))
     sized = apportion(sized, ["_part"], "target", "_blocks", [F.col("pos")]).select("source", "source_size", "target", F.col("quota").alias("source_blocks"))
-    sized = durable(sized.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long")))
+    sized = sized.join(counts, sized["source"].eqNullSafe(counts["_from"])).drop("_from")
+    sized = durable(sized.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens), F.ceil(F.col("_rows") / shard_rows)).cast("long")).drop("_rows"))
     few = broadcast_if(sized, sized.count(), BROADCAST_SOURCES).withColumnRenamed("source", "_source")
 
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -125,26 +128,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: one row for each copy that the mix takes of a document, with ``copy`` (from 1) and ``taken``.
+    """The mix itself: one row for each copy that the mix takes of a document, with ``copy`` (from 1) and ``taken``, its words.
 
-    A copy is the whole text; the last may be the text's first words, where the shard's quota
-    ends inside the document. Documents of which nothing is taken are left out. The
+    A copy is always the whole text: where a shard's quota ends inside a document, that copy is taken if the quota has half of it or more.
+    Documents of which nothing is taken are left out, those with a null text or one without words too. The
     columns of ``docs`` stay (the new ones are ``mix_copy`` and ``mix_taken`` if it has such already); rows of one doc_id and one text count
-    as one document's copies.
+    as one document's copies. Null ids and sources are as good as any. Empty table: no rows.
     """
     names = docs.columns
-    taken = mix(docs, key=True, **params).groupBy("doc_id", "text_key", "size").agg(F.collect_list("taken").alias("_list")).filter(F.exists("_list", lambda t: t > 0))
+    copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    taken = mix(docs, key=True, **params).filter("size > 0").groupBy("doc_id", "text_key", "size").agg(F.sum(copies).alias("_copies")).filter("_copies > 0")
     flat = docs.toDF(*[f"__{i}" for i in range(len(names))])
     by = {n: f"__{names.index(n)}" for n in ("doc_id", "text")}
     flat = flat.withColumn("_key", F.xxhash64(by["text"])).dropDuplicates([by["doc_id"], "_key"])
     rows = flat.join(taken, flat[by["doc_id"]].eqNullSafe(taken["doc_id"]) & (flat["_key"] == taken["text_key"]))
-    words = F.slice(F.regexp_extract_all(F.col(by["text"]), F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int"))
-    pieces = F.flatten(F.transform("_list", lambda t: F.when(t > 0, F.transform(F.sequence(F.lit(1), F.ceil(t / F.col("size")).cast("int")), lambda k: F.least(F.col("size"), t - (k - 1) * F.col("size")))).otherwise(F.array().cast("array<long>"))))
-    rows = rows.select(*[c for c in flat.columns if c != "_key"], "size", F.posexplode(pieces).alias("copy", "_words"))
-    text = F.when(F.col("_words") < F.col("size"), F.array_join(words, " ")).otherwise(F.col(by["text"]))
     free = lambda n: n if n not in [c.lower() for c in names] else free(f"mix_{n}")
-    own = [text.alias(c) if c == by["text"] else F.col(c) for c in (f"__{i}" for i in range(len(names)))]
-    return rows.select(*own, (F.col("copy") + 1).alias("_copy"), F.col("_words").cast("long")).toDF(*names, free("copy"), free("taken"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")
+    return rows.select(*[f"__{i}" for i in range(len(names))], copy, F.col("size").alias("_taken")).toDF(*names, free("copy"), free("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS turn
   FROM documents),
-src AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
+src AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM rows GROUP BY source),
 pos AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS pos FROM src),
 wt AS (SELECT *, (pos - 1) % 3 + 1 AS weight, {MOST_REPEATS} * source_size AS cap, sum(source_size) OVER ()::BIGINT AS total FROM pos),
 lev AS (
@@ -164,7 +164,7 @@ lev AS (
          (total - coalesce(sum(cap) OVER up, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0))::DOUBLE AS level
   FROM wt WINDOW up AS (ORDER BY cap / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 tgt AS (
-  SELECT source, source_size, pos,
+  SELECT source, source_size, source_rows, pos,
          least(coalesce((SELECT arg_min(l.level, (l.r, l.pos)) FROM lev l WHERE l.level * l.weight <= l.cap), 0.0) * weight, cap::DOUBLE) AS target,
          ceil(total / {BLOCK_TOKENS}.0)::BIGINT AS m, count(*) OVER () AS n
   FROM lev),
@@ -180,7 +180,7 @@ tries AS (
 won AS (SELECT pos, count(*) AS won FROM tries WHERE rk <= open GROUP BY pos),
 quota AS (
   SELECT o.source, o.source_size, o.target, o.pos, (o.low + coalesce(w.won, 0))::BIGINT AS blocks,
-         greatest(1, ceil(o.source_size / {SHARD_TOKENS}.0))::BIGINT AS shards
+         greatest(1, ceil(o.source_size / {SHARD_TOKENS}.0), ceil(o.source_rows / {SHARD_ROWS}.0))::BIGINT AS shards
   FROM opn o LEFT JOIN won w USING (pos)),
 placed AS (
   SELECT r.*, q.source_size, q.target, q.pos, q.blocks, ('0x' || substr(r.turn, 1, 8))::BIGINT % q.shards AS shard
