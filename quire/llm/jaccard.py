@@ -17,13 +17,17 @@ from quire.llm.suffixes import likely
 
 WORDS = 5
 LEAST = 0.8
-#: Differing bits of 64 up to which two fingerprints are looked at. Sets that are similar enough differ in each bit with a chance of about 0.15, 0.19 at
-#: the most, so more bits than these differ in fewer than one of a million such pairs of small sets, of 10^9 of larger ones.
+#: Differing bits up to which two fingerprints are looked at: of the 64 that tries have, and of 128 and 256 beyond those. Sets that are similar enough differ in
+#: each bit with a chance of about 0.15, and of 0.19 at the most where they are small (``FEW``), so more bits than these differ in fewer than one of a million such pairs.
 BUDGET = 28
+WIDER = {2: 42, 4: 70}
+WIDER_FEW = {2: 47, 4: 82}
+FEW = 20
 #: Entries of prefixes that a task joins at once, shingles of a task's texts, pairs that are looked at together.
 HELD_ROWS = 1 << 17
 CELL = 4_000_000
 AT_ONCE = 4096
+MIXERS = (1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: One text in so many tells which shingles are frequent; that often there, and so many of them at most.
 SAMPLE = 32
 OFTEN = 3
@@ -43,12 +47,27 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64))
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """A bit is set if more than half of the different shingles' hashes have it."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+def fingerprint(hashes: np.ndarray, parts: int = 1) -> np.ndarray:
+    """64 bits for each part: one is set if more than half of the different shingles' hashes have it. Parts after the first are of the hashes mixed anew."""
+    made = np.zeros(parts, np.uint64)
+    with np.errstate(over="ignore"):
+        for part in range(parts):
+            ones = np.zeros(64, np.int64)
+            for at in range(0, len(hashes), 1 << 16):
+                own = hashes[at : at + (1 << 16)]
+                if part:
+                    own = (own ^ (own >> np.uint64(29))) * np.uint64(MIXERS[part])
+                    own ^= own >> np.uint64(32)
+                ones += np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            made[part] = int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return made
+
+
+def near(fps: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of ``fps`` are near enough in all parts."""
+    parts = fps.shape[1]
+    bits = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+    return bits <= np.where(np.minimum(sizes[i], sizes[j]) < FEW, WIDER_FEW[parts], WIDER[parts])
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray, least: float) -> np.ndarray:
@@ -81,18 +100,20 @@ def candidates(nodes: DataFrame) -> DataFrame:
     The texts of one shingle are a binary trie by their fingerprints, which is joined with itself; a task gives the links of a spanning forest of
     all its shingles' pairs, at most one a text, never all pairs.
     """
-    each = nodes.select("text_key", "fp", F.explode("prefix").alias("hash")).repartition("hash").sortWithinPartitions("hash", F.expr("fp ^ shiftleft(1L, 63)"))
+    each = nodes.select("text_key", F.least("size", F.lit(FEW)).cast("byte").alias("size"), "fp", "fp2", F.explode("prefix").alias("hash")).repartition("hash").sortWithinPartitions("hash", F.expr("fp ^ shiftleft(1L, 63)"))
 
     def made(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         both = pa.Table.from_batches(parts)
-        key, hashes, fps = both.column("text_key").to_numpy(), both.column("hash").to_numpy(), both.column("fp").to_numpy().view(np.uint64)
+        key, hashes, size = (both.column(c).to_numpy() for c in ("text_key", "hash", "size"))
+        fps = np.stack([both.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2")], 1)
         first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         end = np.append(first[1:], len(hashes))
         many = end - first > 1
         first, end = first[many], end[many]
         texts, own = np.unique(key, return_inverse=True)
         pairs = np.stack([first, end, first, end, np.zeros_like(first)], 1)
-        root = forest(len(texts), ((own[i], own[j]) for i, j in traverse(fps, pairs, 0, BUDGET)))
+        found = ((i[good], j[good]) for i, j in traverse(fps[:, 0].copy(), pairs, 0, BUDGET) if (good := near(fps, size, i, j)).any())
+        root = forest(len(texts), ((own[i], own[j]) for i, j in found))
         linked = np.flatnonzero(root != np.arange(len(texts)))
         return pa.RecordBatch.from_arrays([pa.array(texts[linked]), pa.array(texts[root[linked]])], ["u", "v"])
 
@@ -119,12 +140,17 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def verified(texts: list[bytes], words: int, least: float) -> np.ndarray:
     """The least index that each text is linked with over pairs that are similar enough; pairs that other pairs have linked already are not looked at."""
     sets = [shingles(t, words) for t in texts]
-    fps = np.array([fingerprint(s) for s in sets], np.uint64)
-    order = np.argsort(fps, kind="stable")
+    sizes = np.array([len(s) for s in sets])
+    fps = np.array([fingerprint(s, 4) for s in sets])
+    order = np.argsort(fps[:, 0], kind="stable")
     root = np.arange(len(texts))
     n = len(texts)
-    for i, j in traverse(fps[order], np.array([[0, n, 0, n, 0]]), 0, BUDGET):
+    for i, j in traverse(fps[order, 0], np.array([[0, n, 0, n, 0]]), 0, BUDGET):
         i, j = order[i], order[j]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        good = near(fps, sizes, i, j) & (least * np.maximum(sizes[i], sizes[j]) - 1e-9 <= np.minimum(sizes[i], sizes[j]))
+        i, j = i[good], j[good]
         for at in range(0, len(i), AT_ONCE):
             a, b = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
             apart = root[a] != root[b]
@@ -197,14 +223,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in sliced(batches):
             sets = [shingles(t or b"", words) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(s, 2) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             size = pa.array([len(s) for s in sets], pa.int32())
             first = pa.array([(prefix(s, frequent.value, least) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node), size, pa.array(fp), first], ["doc_id", "text_key", "node", "size", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(node), size, pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), first], ["doc_id", "text_key", "node", "size", "fp", "fp2", "prefix"])
 
-    prints = rows.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, fp long, prefix array<int>")
-    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
-    nodes = spooled(nodes.select(F.col("kept.text_key").alias("text_key"), "kept", "size", "fp", "prefix"))
+    prints = rows.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, size int, fp long, fp2 long, prefix array<int>")
+    nodes = prints.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("kept"), *[F.first(c).alias(c) for c in ("size", "fp", "fp2", "prefix")])
+    nodes = spooled(nodes.select(F.col("kept.text_key").alias("text_key"), "kept", "size", "fp", "fp2", "prefix"))
     roots = components(similar(rows.select("text_key", "text"), nodes, words, least, cell))
     rooted = nodes.select("text_key", "kept").join(roots, F.col("text_key") == F.col("node"), "left")
     kept = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min("kept").alias("_kept"))
