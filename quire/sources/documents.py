@@ -19,8 +19,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
-def parsed(documents: DataFrame, schema: str, work) -> DataFrame:
-    """``work(doc_id, document)`` of every file (doc_id, content), a task reading whole files; a file that can't be read gives no rows here (see ``errors``)."""
+def parsed(documents: DataFrame, schema: str, work, password: str = "") -> DataFrame:
+    """``work(doc_id, document)`` of every file (doc_id, content), a task reading whole files; a file that can't be read gives no rows here (see ``errors``).
+
+    A file's own ``password`` column, if there is one, opens it; else the one given.
+    """
     kind = dict(documents.dtypes)["doc_id"]
     fields = documents.sparkSession.createDataFrame([], f"doc_id {kind}, {schema}")
     arrow = fields.limit(0).toArrow().schema
@@ -28,32 +31,37 @@ def parsed(documents: DataFrame, schema: str, work) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
+            for doc_id, content, secret in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "password"))):
                 try:
-                    made += [(doc_id, *row) for row in work(syntax.read(content or b""))]
+                    made += [(doc_id, *row) for row in work(syntax.read(content or b"", (secret or "").encode()))]
                 except (ValueError, PermissionError, AttributeError, RecursionError):
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(arrow)], arrow.names)
 
-    return documents.select("doc_id", "content").mapInArrow(run, fields.schema)
+    return with_password(documents, password).mapInArrow(run, fields.schema)
+
+
+def with_password(documents: DataFrame, password: str) -> DataFrame:
+    given = F.lit(password)
+    return documents.select("doc_id", "content", (F.coalesce(F.col("password"), given) if "password" in documents.columns else given).alias("password"))
 
 
-def errors(documents: DataFrame) -> DataFrame:
+def errors(documents: DataFrame, password: str = "") -> DataFrame:
     """(doc_id, error) of the files that can't be read."""
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, said = [], []
-            for i, content in enumerate(batch.column("content").to_pylist()):
+            for i, (content, secret) in enumerate(zip(batch.column("content").to_pylist(), batch.column("password").to_pylist())):
                 try:
-                    syntax.read(content or b"")
+                    syntax.read(content or b"", (secret or "").encode())
                 except Exception as error:  # noqa: BLE001
                     ids.append(i)
                     said.append(f"{type(error).__name__}: {error}")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(said, pa.string())], ["doc_id", "error"])
 
-    return documents.select("doc_id", "content").mapInArrow(run, f"doc_id {kind}, error string")
+    return with_password(documents, password).mapInArrow(run, f"doc_id {kind}, error string")
 
 
 def as_json(node: syntax.Node | None) -> object:
@@ -72,12 +80,12 @@ def as_json(node: syntax.Node | None) -> object:
     return {"type": node.kind, "value": value.hex() if node.kind == "hexadecimal" else value.decode("latin-1") if isinstance(value, bytes) else value}
 
 
-def objects(documents: DataFrame) -> DataFrame:
+def objects(documents: DataFrame, password: str = "") -> DataFrame:
     def work(doc):
         for i, o in enumerate(doc.objects):
             yield o.revision, i, o.obj_no, o.gen_no, o.at if o.inside is None else None, o.inside, o.index, o.node.kind if o.node else "null", json.dumps(as_json(o.node))
 
-    return parsed(documents, "revision_no int, ordinal int, obj_no int, gen_no int, byte_offset long, compressed_in int, idx_in_stream int, kind string, value string", work)
+    return parsed(documents, "revision_no int, ordinal int, obj_no int, gen_no int, byte_offset long, compressed_in int, idx_in_stream int, kind string, value string", work, password)
 
 
 def walk(node: syntax.Node | None, path: str = "") -> Iterator[tuple]:
@@ -107,7 +115,7 @@ def walk(node: syntax.Node | None, path: str = "") -> Iterator[tuple]:
             todo += [(v, f"{path}/{k}", path, i, k, None) for i, (k, v) in reversed([*enumerate(value)])]
 
 
-def nodes(documents: DataFrame) -> DataFrame:
+def nodes(documents: DataFrame, password: str = "") -> DataFrame:
     """Every value of every live object, one row each; of repeated keys the first counts (lowest ``ord``)."""
 
     def work(doc):
@@ -115,21 +123,21 @@ def nodes(documents: DataFrame) -> DataFrame:
             for row in walk(o.node):
                 yield n, o.gen_no, *row
 
-    return parsed(documents, "obj_no int, gen_no int, path string, parent_path string, ord int, key string, idx int, kind string, num double, bytes binary, text string, ref_obj int, ref_gen int", work)
+    return parsed(documents, "obj_no int, gen_no int, path string, parent_path string, ord int, key string, idx int, kind string, num double, bytes binary, text string, ref_obj int, ref_gen int", work, password)
 
 
-def xref_entries(documents: DataFrame) -> DataFrame:
-    return parsed(documents, "revision_no int, obj_no int, gen_no int, entry_type int, byte_offset long, objstm_no int, idx int", lambda doc: ((e.revision, e.obj_no, e.gen_no, e.kind, e.offset, e.stream_no, e.index) for e in doc.entries))
+def xref_entries(documents: DataFrame, password: str = "") -> DataFrame:
+    return parsed(documents, "revision_no int, obj_no int, gen_no int, entry_type int, byte_offset long, objstm_no int, idx int", lambda doc: ((e.revision, e.obj_no, e.gen_no, e.kind, e.offset, e.stream_no, e.index) for e in doc.entries), password)
 
 
-def revisions(documents: DataFrame) -> DataFrame:
+def revisions(documents: DataFrame, password: str = "") -> DataFrame:
     def work(doc):
         for r in doc.revisions:
             prev = r.trailer.get("Prev") if r.trailer else None
             root = r.trailer.get("Root") if r.trailer else None
             yield r.number, r.startxref, r.xref_at, r.kind, int(prev.value) if prev else None, r.trailer.number("Size") if r.trailer else None, root.value[0] if root and root.kind == "reference" else None
 
-    return parsed(documents, "revision_no int, startxref long, xref_offset long, xref_kind string, prev long, size int, root_obj int", work)
+    return parsed(documents, "revision_no int, startxref long, xref_offset long, xref_kind string, prev long, size int, root_obj int", work, password)
 
 
 def tokens(documents: DataFrame) -> DataFrame:
@@ -169,7 +177,7 @@ def box(node: syntax.Node, name: str, other: list[float] | None = None) -> list[
     return [float(v.value) for v in own.value] if own is not None and own.kind == "array" and all(v.kind == "number" for v in own.value) else other
 
 
-def pages(documents: DataFrame) -> DataFrame:
+def pages(documents: DataFrame, password: str = "") -> DataFrame:
     """One row a page: number, boxes (a page's own; its media box is a letter page's by default), size, rotation and what it refers to."""
 
     def work(doc):
@@ -180,10 +188,10 @@ def pages(documents: DataFrame) -> DataFrame:
             yield i, n, *boxes, media[2] - media[0], media[3] - media[1], page.number("Rotate"), len(annots.value) if annots is not None and annots.kind == "array" else 0
 
     boxes = ", ".join(f"{b} array<double>" for b in ("media_box", "crop_box", "bleed_box", "trim_box", "art_box"))
-    return parsed(documents, f"page_no int, obj_no int, {boxes}, width double, height double, rotate int, n_annotations int", work)
+    return parsed(documents, f"page_no int, obj_no int, {boxes}, width double, height double, rotate int, n_annotations int", work, password)
 
 
-def fields(documents: DataFrame) -> DataFrame:
+def fields(documents: DataFrame, password: str = "") -> DataFrame:
     """Form fields with their dotted names; type, value, flags and appearance come from the parent (or the form) where a field has none."""
 
     def work(doc):
@@ -213,26 +221,30 @@ def fields(documents: DataFrame) -> DataFrame:
             if "FT" in own:
                 yield number, path, said(own["FT"]), said(own.get("V")), said(own.get("DV")), int(own["Ff"].value) if "Ff" in own else 0, said(own.get("DA")), int(own["Q"].value) if "Q" in own else 0
 
-    return parsed(documents, "obj_no int, name string, field_type string, value string, default_value string, flags int, appearance string, quadding int", work)
+    return parsed(documents, "obj_no int, name string, field_type string, value string, default_value string, flags int, appearance string, quadding int", work, password)
+
 
+def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: int = 0, password: str = "", owner: str | None = None, permission: int = -4, compressed: bool = False) -> DataFrame:
+    """(doc_id, content): a file of one page for each text, which its content stream shows.
 
-def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, content): a file of one page for each text, which its content stream shows."""
+    ``version`` 1, 2, 4 or 5: encrypted with the passwords of user and owner. ``compressed``: with object streams and an index stream.
+    """
+    protect = {"version": version, "user": password.encode(), "owner": None if owner is None else owner.encode(), "permission": permission} if version else None
     kind = dict(texts.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for text in batch.column("text").to_pylist():
+            for n, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 shown = syntax.dump(b"\xfe\xff" + (text or "").encode("utf-16-be"))
                 content = b"BT /F1 12 Tf 72 720 Td " + shown + b" Tj ET"
-                made.append(syntax.write({1: {"Type": "/Catalog", "Pages": (2, 0)}, 2: {"Type": "/Pages", "Kids": [(3, 0)], "Count": 1}, 3: {"Type": "/Page", "Parent": (2, 0), "MediaBox": [0, 0, 612, 792], "Contents": (4, 0), "Resources": {"Font": {"F1": (5, 0)}}}, 4: ({}, content), 5: {"Type": "/Font", "Subtype": "/Type1", "BaseFont": "/Helvetica"}}, 1))
+                made.append(syntax.write({1: {"Type": "/Catalog", "Pages": (2, 0)}, 2: {"Type": "/Pages", "Kids": [(3, 0)], "Count": 1}, 3: {"Type": "/Page", "Parent": (2, 0), "MediaBox": [0, 0, 612, 792], "Contents": (4, 0), "Resources": {"Font": {"F1": (5, 0)}}}, 4: ({}, content), 5: {"Type": "/Font", "Subtype": "/Type1", "BaseFont": "/Helvetica"}}, 1, protect=protect and protect | {"seed": f"{n}".encode()}, compressed=compressed))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "content"])
 
     return texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, content binary")
 
 
-def page_texts(documents: DataFrame) -> DataFrame:
+def page_texts(documents: DataFrame, password: str = "") -> DataFrame:
     """(doc_id, n_pages, n_objects, digest): the md5 of the UTF-8 text that the pages' content streams show."""
     import hashlib
 
@@ -250,7 +262,7 @@ def page_texts(documents: DataFrame) -> DataFrame:
                         shown.append(data[2:].decode("utf-16-be") if data[:2] == b"\xfe\xff" else data.decode("latin-1"))
         yield n, len(live), hashlib.md5("".join(shown).encode()).hexdigest()
 
-    return parsed(documents, "n_pages int, n_objects int, digest string", work)
+    return parsed(documents, "n_pages int, n_objects int, digest string", work, password)
 
 
 def serialised(tokens_: DataFrame) -> DataFrame:

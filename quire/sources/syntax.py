@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from quire.functions.codecs import decode_stream
-from quire.functions.crypto import opens, rc4_bytes
 from quire.functions.text import unescape_bytes
+from quire.sources import security
 
 SPACE = b" \t\r\n\0\f"
 DEEPEST = 500
@@ -118,6 +120,7 @@ class Document:
     objects: list[Indirect] = field(default_factory=list)
     entries: list[Entry] = field(default_factory=list)
     revisions: list[Revision] = field(default_factory=list)
+    security: security.Security | None = None
 
     def live(self) -> dict[int, Indirect]:
         """The object that counts for each number: where the newest index entry points; without an index, the last."""
@@ -237,7 +240,7 @@ def members(node: Node, stream_no: int) -> Iterator[Indirect]:
 
 
 def read(data: bytes, password: bytes = b"") -> Document:
-    """Objects, index entries and revisions of a file. A file that is encrypted with RC4 is decrypted, if the password opens it."""
+    """Objects, index entries and revisions of a file. A protected file is decrypted, if the password opens it."""
     doc = Document()
     head = re.search(rb"%PDF-(\d\.\d)", data[:1024])
     doc.version = head[1].decode() if head else None
@@ -287,41 +290,69 @@ def read(data: bytes, password: bytes = b"") -> Document:
     return doc
 
 
+def plain(node: Node | None) -> object:
+    """A value as Python has it: names as text, references as None."""
+    if node is None or node.kind == "reference":
+        return None
+    if node.kind == "array":
+        return [plain(v) for v in node.value]
+    if node.kind in ("dictionary", "stream"):
+        return {k: plain(v) for k, v in reversed(node.value)}
+    return node.value
+
+
 def decrypt(doc: Document, password: bytes) -> None:
-    """Strings and streams in plain, for handlers of version 1 and 2; other versions, and a wrong password, are errors."""
+    """Strings and streams in plain; an unknown handler and a wrong password are errors. Members of object streams are plain already, as their stream is."""
     secret = doc.trailer("Encrypt")
     if secret is None:
         return
     own_no = secret.value[0] if secret.kind == "reference" else None
-    rules = next(o.node for o in doc.objects if o.obj_no == own_no) if own_no else secret
-    version, revision = rules.number("V"), rules.number("R")
-    if version not in (1, 2):
-        raise ValueError(f"encryption version {version} isn't read here")
-    ids = doc.trailer("ID")
-    key = opens(password, rules.get("O").value, rules.get("U").value, rules.number("P"), ids.value[0].value if ids else b"", rules.number("Length", 40) // 8, revision)
-    if key is None:
-        raise PermissionError("the password doesn't open the document")
-    import hashlib
-
-    def walk(node: Node | None, own: bytes) -> None:
+    rules = plain(next((o.node for o in doc.objects if o.obj_no == own_no), None) if own_no else secret)
+    if rules is None:
+        raise ValueError("the encryption dictionary is missing")
+    rules["CF"] = {k: v.get("CFM", "None") for k, v in (rules.get("CF") or {}).items()}
+    ids = plain(doc.trailer("ID"))
+    doc.security = security.opened(rules, password, ids[0] if ids else b"")
+
+    def walk(node: Node | None, o: Indirect) -> None:
         if node is None:
             return
-        if node.kind == "string":
-            node.value = rc4_bytes(own, node.value)
+        if node.kind in ("string", "hexadecimal"):
+            node.value, node.raw = doc.security.decrypted(node.value, o.obj_no, o.gen_no, doc.security.strings), b""
         elif node.kind == "array":
             for x in node.value:
-                walk(x, own)
+                walk(x, o)
         elif node.kind in ("dictionary", "stream"):
             for _, x in node.value:
-                walk(x, own)
+                walk(x, o)
             if node.kind == "stream":
-                node.raw = rc4_bytes(own, node.raw)
+                kind, filters, parms = plain(node.get("Type")), plain(node.get("Filter")), plain(node.get("DecodeParms"))
+                first = filters[0] if isinstance(filters, list) and filters else filters
+                named = parms[0] if isinstance(parms, list) and parms else parms
+                own = (named or {}).get("Name", security.IDENTITY) if first == "Crypt" else None
+                node.raw = doc.security.decrypted(node.raw, o.obj_no, o.gen_no, doc.security.method_of_stream(kind, own))
 
     for o in doc.objects:
         kind = o.node.get("Type") if o.node else None
         if o.obj_no != own_no and not (kind and kind.value == "XRef"):
-            seed = key + o.obj_no.to_bytes(3, "little") + o.gen_no.to_bytes(2, "little")
-            walk(o.node, hashlib.md5(seed).digest()[: min(16, len(key) + 5)])
+            walk(o.node, o)
+
+
+def encrypt(value: object, number: int, own: security.Security, count: list[int] | None = None) -> object:
+    """A value as ``write`` takes it with its strings and its stream encrypted for the object of that number."""
+    count = count if count is not None else [0]
+    if isinstance(value, tuple) and len(value) == 2 and isinstance(value[0], dict):
+        head = encrypt(value[0], number, own, count)
+        kind = str(value[0].get("Type", "")).removeprefix("/")
+        return head, own.encrypted(value[1], number, 0, own.method_of_stream(kind, None))
+    if isinstance(value, bytes):
+        count[0] += 1
+        return own.encrypted(value, number, 0, own.strings, count[0])
+    if isinstance(value, list):
+        return [encrypt(v, number, own, count) for v in value]
+    if isinstance(value, dict):
+        return {k: encrypt(v, number, own, count) for k, v in value.items()}
+    return value
 
 
 def escaped(data: bytes) -> bytes:
@@ -355,36 +386,90 @@ def dump(value: object) -> bytes:
     return b"<<" + b" ".join(b"%s %s" % (dump("/" + k), dump(v)) for k, v in value.items()) + b">>"
 
 
-def write(objects: dict[int, object], root: int, before: bytes = b"", info: int | None = None) -> bytes:
-    """A file of those objects (or, after the bytes of one, a further revision of it). A stream is (dictionary, bytes)."""
+def body_of(value: object) -> bytes:
+    """An object's bytes; a stream is (dictionary, bytes)."""
+    if isinstance(value, tuple) and len(value) == 2 and isinstance(value[0], dict):
+        return dump(value[0] | {"Length": len(value[1])}) + b"\nstream\n" + value[1] + b"\nendstream"
+    return dump(value)
+
+
+def packed(objects: dict[int, object], first_number: int, most: int = 100) -> tuple[dict[int, object], dict[int, tuple[int, int]]]:
+    """Object streams of up to ``most`` objects each, by number from ``first_number``, and (stream, place in it) of each object; streams can't be packed and are left out."""
+    streams, places = {}, {}
+    fit = [(n, v) for n, v in objects.items() if not (isinstance(v, tuple) and len(v) == 2 and isinstance(v[0], dict))]
+    for at in range(0, len(fit), most):
+        bodies = [(n, dump(v)) for n, v in fit[at : at + most]]
+        offset, head = 0, []
+        for i, (n, body) in enumerate(bodies):
+            head.append(b"%d %d" % (n, offset))
+            places[n] = (first_number, i)
+            offset += len(body) + 1
+        lead = b" ".join(head) + b"\n"
+        data = zlib.compress(lead + b"\n".join(b for _, b in bodies))
+        streams[first_number] = ({"Type": "/ObjStm", "N": len(bodies), "First": len(lead), "Filter": "/FlateDecode"}, data)
+        first_number += 1
+    return streams, places
+
+
+def index_stream(rows: dict[int, tuple[int, int, int]], trailer: dict[str, object]) -> tuple[dict, bytes]:
+    """An index stream of (type, second, third field) by number: sections of consecutive numbers, fields no wider than their largest value needs."""
+    numbers = sorted(rows)
+    starts = [i for i, n in enumerate(numbers) if i == 0 or n != numbers[i - 1] + 1] + [len(numbers)]
+    index = [x for a, b in zip(starts, starts[1:]) for x in (numbers[a], b - a)]
+    widths = [max(1, (max((r[k] for r in rows.values()), default=0).bit_length() + 7) // 8) for k in range(3)]
+    data = b"".join(v.to_bytes(w, "big") for n in numbers for v, w in zip(rows[n], widths))
+    return trailer | {"Type": "/XRef", "W": widths, "Index": index, "Filter": "/FlateDecode"}, zlib.compress(data)
+
+
+def write(objects: dict[int, object], root: int, before: bytes = b"", info: int | None = None, protect: dict | None = None, compressed: bool = False, free: list[int] = ()) -> bytes:
+    """A file of those objects (or, after the bytes of one, a further revision of it). A stream is (dictionary, bytes).
+
+    ``protect`` has what ``security.created`` takes: the file is encrypted. ``compressed``: objects go to object streams and the index is a
+    stream. ``free`` are numbers of objects that a further revision deletes.
+    """
     out = bytearray(before or b"%PDF-1.7\n%\xe2\xe3\xcf\xd3\n")
-    offsets: dict[int, int] = {}
-    for n, value in objects.items():
-        offsets[n] = len(out)
-        if isinstance(value, tuple) and len(value) == 2 and isinstance(value[0], dict):
-            body = dump(value[0] | {"Length": len(value[1])}) + b"\nstream\n" + value[1] + b"\nendstream"
-        else:
-            body = dump(value)
-        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
-    size = max([*objects, 0]) + 1
-    trailer: dict[str, object] = {"Size": size, "Root": (root, 0)}
+    trailer: dict[str, object] = {"Root": (root, 0)}
+    own = None
+    top = max([*objects, *free, 0])
     if before:
         earlier = read(before)
-        trailer["Size"] = max(size, max((r.trailer.number("Size") for r in earlier.revisions if r.trailer), default=0))
+        top = max(top, max((r.trailer.number("Size") for r in earlier.revisions if r.trailer), default=1) - 1)
         trailer["Prev"] = next(r.startxref for r in reversed(earlier.revisions) if r.startxref is not None)
     if info:
         trailer["Info"] = (info, 0)
+    places: dict[int, tuple[int, int]] = {}
+    if compressed:
+        streams, places = packed(objects, top + 1)
+        objects = {n: v for n, v in objects.items() if n not in places} | streams
+        top += len(streams)
+    if protect is not None:
+        file_id = hashlib.md5(b"".join(body_of(v) for v in objects.values())).digest()
+        rules, own = security.created(**{"file_id": file_id, "seed": file_id} | protect)
+        top += 1
+        trailer |= {"Encrypt": (top, 0), "ID": [file_id, file_id]}
+        objects = {n: encrypt(v, n, own) for n, v in objects.items()} | {top: rules}
+    offsets: dict[int, int] = {}
+    for n, value in objects.items():
+        offsets[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body_of(value))
     at = len(out)
-    out += b"xref\n"
-    if not before:
-        out += b"0 1\n0000000000 65535 f \n"
-    numbers = sorted(offsets)
-    start = 0
-    for i in range(1, len(numbers) + 1):
-        if i == len(numbers) or numbers[i] != numbers[i - 1] + 1:
-            out += b"%d %d\n" % (numbers[start], i - start)
-            for n in numbers[start:i]:
-                out += b"%010d 00000 n \n" % offsets[n]
-            start = i
-    out += b"trailer\n" + dump(trailer) + b"\nstartxref\n%d\n%%%%EOF\n" % at
+    if compressed:
+        number = top + 1
+        rows = {n: (1, o, 0) for n, o in offsets.items()} | {n: (2, *p) for n, p in places.items()} | {n: (0, 0, 1) for n in free} | {number: (1, at, 0)}
+        if not before:
+            rows[0] = (0, 0, 65535)
+        out += b"%d 0 obj\n%s\nendobj\n" % (number, body_of(index_stream(rows, {"Size": number + 1} | trailer)))
+    else:
+        out += b"xref\n"
+        lines = {n: b"%010d 00000 n \n" % o for n, o in offsets.items()} | {n: b"0000000000 00001 f \n" for n in free}
+        if not before:
+            lines[0] = b"0000000000 65535 f \n"
+        numbers = sorted(lines)
+        start = 0
+        for i in range(1, len(numbers) + 1):
+            if i == len(numbers) or numbers[i] != numbers[i - 1] + 1:
+                out += b"%d %d\n" % (numbers[start], i - start) + b"".join(lines[n] for n in numbers[start:i])
+                start = i
+        out += b"trailer\n" + dump({"Size": top + 1} | trailer) + b"\n"
+    out += b"startxref\n%d\n%%%%EOF\n" % at
     return bytes(out)
