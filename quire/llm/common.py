@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to a Python worker, where the session hasn't set its own number: a batch of long texts is held several times over.
+BATCH_ROWS = 1_000
+BATCH_DEFAULT = "10000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == BATCH_DEFAULT:
+        spark.conf.set(rows, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -256,10 +255,10 @@ def likely(keys: DataFrame, n: int, key: str) -> Callable[[Column], Column]:
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = keys.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(key: pa.Array) -> pa.Array:
         place = np.mod(key.to_numpy(), bits)
-        return pd.Series((shared.value[place >> 6] >> (place & 63)) & 1 == 1)
+        return pa.array((shared.value[place >> 6] >> (place & 63)) & 1 == 1)
 
     return test
 
