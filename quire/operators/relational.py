@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.shared import shared_folder, sums_before
+
 
 def islands(rows: DataFrame, number: str, part: list[str] = ()) -> DataFrame:
-    """(part, start, n) of the runs of consecutive different numbers."""
-    w = W.partitionBy(*part).orderBy(number)
+    """(part, start, n) of the runs of consecutive different numbers. Without parts, the numbers are ranged into tasks."""
     distinct = rows.select(*part, number).distinct()
-    return distinct.withColumn("_run", F.col(number) - F.row_number().over(w)).groupBy(*part, "_run").agg(F.min(number).alias("start"), F.count(F.lit(1)).alias("n")).drop("_run")
+    if part:
+        placed = distinct.withColumn("_run", F.col(number) - F.row_number().over(W.partitionBy(*part).orderBy(number)))
+    else:
+        placed = sums_before(distinct, F.lit(1), [number], "_n").withColumn("_run", F.col(number) - F.col("_n"))
+    return placed.groupBy(*part, "_run").agg(F.min(number).alias("start"), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -22,7 +25,9 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def running_offset(rows: DataFrame, size: str, order: list[str], part: list[str] = (), name: str = "byte_offset") -> DataFrame:
-    """Where each piece begins when all are written one after another."""
+    """Where each piece begins when all are written one after another. Without parts, the pieces are ranged into tasks."""
+    if not part:
+        return sums_before(rows, F.col(size), order, name)
     w = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return rows.withColumn(name, F.coalesce(F.sum(size).over(w), F.lit(0)))
 
@@ -60,9 +65,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     One join a step, over the nodes found last, until a step finds none; so cycles end, and the steps are as many
     as the longest shortest path. What was found is written to the checkpoint folder at each step.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    shared_folder(edges.sparkSession)
     links = edges.select("doc_id", F.col("source").alias("node"), "target").distinct()
     known = fresh = roots.select("doc_id", "node").distinct().checkpoint()
     while not fresh.isEmpty():
@@ -72,14 +75,20 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return known
 
 
-def tree_paths(nodes: DataFrame, most_steps: int = 200) -> DataFrame:
-    """Nodes (doc_id, node, parent, name) with depth and dotted path from their root, whose parent is null."""
-    nodes.createOrReplaceTempView("_tree_nodes")
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE tree(doc_id, node, depth, path) MAX RECURSION LEVEL {most_steps} AS (
-          SELECT doc_id, node, 0, CAST(name AS STRING) FROM _tree_nodes WHERE parent IS NULL
-          UNION ALL SELECT n.doc_id, n.node, t.depth + 1, concat(t.path, '.', n.name) FROM tree t JOIN _tree_nodes n ON n.doc_id = t.doc_id AND n.parent = t.node)
-        SELECT * FROM tree""")
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """Nodes (doc_id, node, parent, name) with depth and dotted path from their root, whose parent is null.
+
+    One join a level, until a level has no node; a cycle has no root and so isn't reached. Every level is written to the checkpoint folder.
+    """
+    shared_folder(nodes.sparkSession)
+    children = nodes.filter("parent IS NOT NULL").select("doc_id", F.col("node").alias("_node"), "parent", F.col("name").alias("_name"))
+    level = nodes.filter("parent IS NULL").select("doc_id", "node", F.lit(0).alias("depth"), F.col("name").cast("string").alias("path")).checkpoint()
+    found = level
+    while not level.isEmpty():
+        below = level.withColumnRenamed("node", "parent").join(children, ["doc_id", "parent"])
+        level = below.select("doc_id", F.col("_node").alias("node"), F.col("depth") + 1, F.concat("path", F.lit("."), "_name").alias("path")).toDF("doc_id", "node", "depth", "path").checkpoint()
+        found = found.unionByName(level)
+    return found
 
 
 def inherited(fields: DataFrame, parents: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,3 +126,121 @@ def tiff_encode(value: Column, part: list[str], order: str, step: int = 1) -> Co
 
 def tiff_decode(value: Column, part: list[str], order: str) -> Column:
     return F.pmod(F.sum(value).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)), F.lit(256))
+
+
+def batched(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``rows`` with ``batch`` and ``place``: batches of ``size`` in order, as objects go to object streams."""
+    return sums_before(rows, F.lit(1), order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).withColumn("place", F.col("_n") % size).drop("_n")
+
+
+def joined_by_number(entries: DataFrame, objects: DataFrame, key: str, number: str, inside: Column) -> DataFrame:
+    """Entries with the objects of their key, of which a condition on both is true as well."""
+    e, o = entries.alias("e"), objects.alias("o")
+    return e.join(o, (F.col(f"e.{key}") == F.col(f"o.{number}")) & inside)
+
+
+def ordered_lookup(order: DataFrame, rows: DataFrame, key: str, other: str, by: list[str]) -> DataFrame:
+    """``order`` with its position (from 1) and what ``rows`` has for its key; what isn't there stays, with nulls."""
+    placed = sums_before(order, F.lit(1), by, "_n").withColumn("position", (F.col("_n") + 1).cast("int")).drop("_n")
+    return placed.join(rows, F.col(key) == F.col(other), "left")
+
+
+def distinct_content(rows: DataFrame, content: Column, first: str) -> DataFrame:
+    """(digest, first): one row for each different content, whatever the number of copies; they are combined before they are shuffled."""
+    return rows.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min(first).alias(first))
+
+
+def union_distinct(tables: list[DataFrame], content: str) -> DataFrame:
+    """The different contents of several tables with the first table's number that has each: revocation data of old and new."""
+    found = None
+    for number, rows in enumerate(tables):
+        own = rows.select(F.col(content).alias(content), F.lit(number).alias("origin"))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy(content).agg(F.min("origin").alias("origin"))
+
+
+def found_last(value: Column, order: Column, matches: Column | None = None) -> Column:
+    """Aggregate: the value of the last row, of those that match."""
+    return F.max_by(value, order) if matches is None else F.max_by(F.when(matches, value), F.when(matches, order))
+
+
+def found_first(value: Column, order: Column, matches: Column | None = None) -> Column:
+    """Aggregate: the value of the first row, of those that match; null if none does."""
+    return F.min_by(value, order) if matches is None else F.min_by(F.when(matches, value), F.when(matches, order))
+
+
+def at_position(value: Column, order: Column, position: int) -> Column:
+    """Aggregate: the value at a position; null beyond the end."""
+    return F.max(F.when(order == position, value))
+
+
+def index_size(numbers: Column) -> Column:
+    """Aggregate: the size entry of an index, one more than the largest number."""
+    return F.coalesce(F.max(numbers), F.lit(-1)) + 1
+
+
+def field_width(values: Column) -> Column:
+    """Aggregate: bytes that the largest value needs, one at least."""
+    most = F.coalesce(F.max(values), F.lit(0)).cast("long")
+    return F.greatest(F.lit(1), F.ceil(F.length(F.bin(most)) / 8)).cast("int")
+
+
+def sessions(events: DataFrame, keys: list[str], at: str, tie: str, gap: str) -> DataFrame:
+    """(keys, session, begin, n): runs of events no further apart than ``gap``, the batch form of the stream's sessions."""
+    w = W.partitionBy(*keys).orderBy(at, tie)
+    fresh = F.when(F.col(at) - F.lag(at).over(w) <= F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    return events.withColumn("_fresh", fresh).withColumn("session", F.sum("_fresh").over(w)).groupBy(*keys, "session").agg(F.min(at).alias("begin"), F.count(F.lit(1)).alias("n"))
+
+
+def resolved(values: DataFrame, objects: DataFrame, most: int = 32) -> DataFrame:
+    """``values`` (doc_id, node, ref) with the object that the reference leads to, over references to references; null where it leads nowhere or round in a circle.
+
+    ``objects`` has (doc_id, obj_no, ref): ref is null for an object that is a value itself. One join a step, for what isn't settled yet.
+    """
+    shared_folder(values.sparkSession)
+    steps = objects.select("doc_id", F.col("obj_no").alias("_no"), F.col("ref").alias("_next"))
+    open_ = values.withColumn("_at", F.col("ref")).checkpoint()
+    done = None
+    for _ in range(most):
+        there = open_.join(steps, (open_["doc_id"] == steps["doc_id"]) & (open_["_at"] == steps["_no"]), "left").drop(steps["doc_id"])
+        ended = there.filter("_next IS NULL").select(*values.columns, F.col("_no").alias("target"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = there.filter("_next IS NOT NULL").select(*values.columns, F.col("_next").alias("_at")).checkpoint()
+        if open_.isEmpty():
+            return done
+    return done.unionByName(open_.select(*values.columns, F.lit(None).cast(objects.schema["obj_no"].dataType).alias("target")))
+
+
+def separators(kinds: Column, before: Column) -> Column:
+    """Whether white space must stand between a token and the one before: both are made of regular characters."""
+    regular = lambda k: k.isin("number", "name", "keyword", "boolean", "null", "ref", "start_object")
+    return F.coalesce(regular(before) & (regular(kinds) & (kinds != "name")), F.lit(False))
+
+
+def pen_positions(glyphs: DataFrame, part: list[str], order: str, width: str, size: float, start: float = 0.0) -> DataFrame:
+    """Glyphs with ``pen``, where each begins: the widths (thousandths of an em) of those before it, in a font size."""
+    w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return glyphs.withColumn("pen", F.coalesce(F.sum(width).over(w), F.lit(0)) * size / 1000 + start)
+
+
+def radio_choice(buttons: DataFrame, group: list[str], order: str, matches: Column) -> DataFrame:
+    """Buttons with ``chosen``: in each group the first that matches, or the first of all."""
+    w = W.partitionBy(*group).orderBy(F.when(matches, 0).otherwise(1), order)
+    return buttons.withColumn("chosen", F.row_number().over(w) == 1)
+
+
+def written_order(objects: DataFrame, rank: Column, part: list[str], ordinal: str) -> DataFrame:
+    """Objects with ``position``: by rank (signatures and index streams last), those of one rank as they stood."""
+    return objects.withColumn("position", F.row_number().over(W.partitionBy(*part).orderBy(rank, ordinal)))
+
+
+def differences(items: DataFrame, part: list[str], order: str, number: str, name: str) -> DataFrame:
+    """(part, code, name) of an array of codes and glyph names: a number sets the code of the next name, each name after that has the next code."""
+    w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    code = F.last(number, True).over(w) + F.col(order) - F.last(F.when(F.col(number).isNotNull(), F.col(order)), True).over(w) - 1
+    return items.withColumn("code", code).filter(F.col(name).isNotNull() & F.col("code").isNotNull()).select(*part, F.col("code").cast("int"), name)
+
+
+def chunked(rows: DataFrame, part: list[str], order: str, size: int = 100) -> DataFrame:
+    """Rows with ``chunk``, of ``size`` in order: a character map lists no more than a hundred at a time."""
+    return rows.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(*part).orderBy(order)) - 1) / size))
