@@ -120,7 +120,7 @@ def exact(data: np.ndarray, starts: np.ndarray, alive: np.ndarray, group: np.nda
     """Of the suffixes with equal fingerprints, those that have an equal in their bytes: all are held against their group's first, and groups with one that differs are sorted by bytes."""
     if not len(alive):
         return alive
-    step = min(8, length)
+    step = 8 if length >= 8 else 1
     words = eights(data) if step == 8 else data
     new = np.concatenate(([True], group[1:] != group[:-1]))
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
