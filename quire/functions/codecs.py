@@ -270,6 +270,14 @@ def decode(data: Column, name: str) -> Column:
     return on_bytes(filter_named(name)[1])(data)
 
 
+def predictor_encode(data: Column, predictor: int, columns: int = 1, colors: int = 1, bits: int = 8) -> Column:
+    return on_bytes(lambda b: predict(b, predictor, columns, colors, bits))(data)
+
+
+def predictor_decode(data: Column, predictor: int, columns: int = 1, colors: int = 1, bits: int = 8) -> Column:
+    return on_bytes(lambda b: unpredict(b, predictor, columns, colors, bits))(data)
+
+
 def decode_stream(data: bytes, filters: Iterable[str], parms: Iterable[dict | None] = ()) -> bytes:
     """All filters in the order listed, each followed by its own predictor."""
     parms = [*parms]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.functions import codecs, crypto, flags, formats, text
-from quire.operators import forms, layout, relational, signatures
+from quire.functions import codecs, crypto, flags, formats, glyphs, text
+from quire.operators import forms, layout, mutations, relational, signatures
 from quire.sources import documents as pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,8 +58,8 @@ def q05_xref_record(t):
 
 @query("""SELECT ((rn - 1) // 100)::BIGINT AS batch, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) GROUP BY 1""")
 def q06_batches(t):
-    rows = t("part").select("p_partkey", F.row_number().over(W.orderBy("p_partkey")).alias("rn"))
-    return rows.groupBy(F.floor((F.col("rn") - 1) / 100).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
+    rows = relational.batched(t("part").select("p_partkey"), ["p_partkey"], 100)
+    return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"), F.max("p_partkey").alias("last_key"))
 
 
 @query("""SELECT doc_id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
@@ -121,9 +121,12 @@ def q15_tiff_decode(t):
     return pixels(t).select("vec_id", "i", relational.tiff_decode(F.col("x"), ["vec_id"], "i").alias("y"))
 
 
-@query(f"""WITH {PIXELS} SELECT vec_id, i, ((x - coalesce(lag(x) OVER (PARTITION BY i ORDER BY vec_id), 0) + 256) % 256)::BIGINT AS y FROM px""")
+@query(f"""WITH {PIXELS}, up AS (SELECT vec_id, i, ((x - coalesce(lag(x, 16) OVER (PARTITION BY vec_id ORDER BY i), 0) + 256) % 256)::BIGINT AS y FROM px) SELECT vec_id, string_agg(CASE WHEN i % 16 = 0 THEN '02' ELSE '' END || lpad(upper(to_hex(y)), 2, '0'), '' ORDER BY i) AS coded, TRUE AS back FROM up GROUP BY vec_id""")
 def q16_png_up(t):
-    return pixels(t).select("vec_id", "i", relational.tiff_encode(F.col("x"), ["i"], "vec_id").alias("y"))
+    rows = t("embeddings").select("vec_id", F.transform("embedding", lambda v: F.pmod(F.floor(v.cast("double") * 1000), F.lit(256)).cast("int")).alias("x"))
+    packed = F.unhex(F.array_join(F.transform("x", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    coded = codecs.predictor_encode(packed, 12, 16)
+    return rows.select("vec_id", F.hex(coded).alias("coded"), (codecs.predictor_decode(coded, 12, 16) == packed).alias("back"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '(?s)<title(?:\\s[^>]*)?>(.*?)</title>', 1) AS title FROM pages""")
@@ -182,13 +185,12 @@ def q26_tree_paths(t):
 
 @query("""SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_extendedprice * 4 < o_totalprice""")
 def q27_join_residual(t):
-    return t("orders").join(t("lineitem"), (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_extendedprice") * 4 < F.col("o_totalprice"))).select("o_orderkey", "l_linenumber", "l_quantity")
+    return relational.joined_by_number(t("orders"), t("lineitem"), "o_orderkey", "l_orderkey", F.col("l_extendedprice") * 4 < F.col("o_totalprice")).select("o_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("""SELECT o_orderkey, c_name, row_number() OVER (ORDER BY o_orderkey)::INTEGER AS position FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def q28_ordered_lookup(t):
-    ordered = t("orders").select("o_orderkey", "o_custkey", F.row_number().over(W.orderBy("o_orderkey")).alias("position"))
-    return ordered.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "c_name", "position")
+    return relational.ordered_lookup(t("orders").select("o_orderkey", "o_custkey"), t("customer"), "o_custkey", "c_custkey", ["o_orderkey"]).select("o_orderkey", "c_name", "position")
 
 
 @query("""SELECT p_partkey, low, width FROM part JOIN (VALUES (1, 9), (10, 11), (21, 5), (26, 30)) r(low, width) ON p_size >= low AND p_size < low + width""")
@@ -200,17 +202,18 @@ def q29_range_join(t):
 
 @query("""SELECT sha256(text) AS digest, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
 def q30_distinct_content(t):
-    return t("documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+    return relational.distinct_content(t("documents"), F.col("text"), "doc_id")
 
 
 @query("""SELECT conv_id, role, max_by(md5(text), turn) AS digest FROM conversations GROUP BY 1, 2""")
 def q31_last_value(t):
-    return t("conversations").groupBy("conv_id", "role").agg(F.max_by(F.md5("text"), "turn").alias("digest"))
+    return t("conversations").groupBy("conv_id", "role").agg(relational.found_last(F.md5("text"), F.col("turn")).alias("digest"))
 
 
-@query("""SELECT conv_id, max(turn) AS last_turn, max_by(role, turn) AS last_role, max(CASE WHEN turn = 1 THEN md5(text) END) AS second FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, max(turn) AS last_turn, max_by(role, turn) AS last_role, max(CASE WHEN turn = 1 THEN md5(text) END) AS second, min_by(CASE WHEN role = 'assistant' THEN md5(text) END, CASE WHEN role = 'assistant' THEN turn END) AS answer FROM conversations GROUP BY 1""")
 def q32_positions(t):
-    return t("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role"), F.max(F.when(F.col("turn") == 1, F.md5("text"))).alias("second"))
+    turn = F.col("turn")
+    return t("conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), relational.found_last(F.col("role"), turn).alias("last_role"), relational.at_position(F.md5("text"), turn, 1).alias("second"), relational.found_first(F.md5("text"), turn, F.col("role") == "assistant").alias("answer"))
 
 
 @query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), chr(8), '\\b'), chr(12), '\\f'), '(', '\\('), ')', '\\)')) AS digest FROM documents""")
@@ -224,29 +227,29 @@ def q34_default_appearance(t):
     return t("part").select("p_partkey", text.default_appearance(da).alias("a")).select("p_partkey", "a.font", "a.size", "a.color")
 
 
-@query("""SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events""")
-def q35_json_value(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-
-
-@query("""SELECT doc_id, TRUE AS same, md5(text) AS digest FROM documents""")
+@query("""SELECT doc_id, '78' AS head, strlen(text) > 500 AS smaller, md5(text) AS digest FROM documents""")
 def q36_flate(t):
     data = text.utf8(F.col("text"))
-    back = codecs.decode(codecs.encode(data, "FlateDecode"), "FlateDecode")
-    return t("documents").select("doc_id", (back == data).alias("same"), F.md5(back).alias("digest"))
+    coded = codecs.encode(data, "FlateDecode")
+    smaller = (F.octet_length(data) > 500) & (F.octet_length(coded) < F.octet_length(data))
+    return t("documents").select("doc_id", F.hex(F.substring(coded, 1, 1)).alias("head"), smaller.alias("smaller"), F.md5(codecs.decode(coded, "FlateDecode")).alias("digest"))
 
 
-@query("""SELECT doc_id, md5(text) AS ascii85, md5(text) AS lzw, md5(text) AS run_length FROM documents""")
+@query("""SELECT doc_id, md5(text) AS ascii85, md5(text) AS lzw, md5(text) AS run_length, md5(text) AS hex, TRUE AS other FROM documents""")
 def q37_codecs(t):
     data = text.utf8(F.col("text"))
     names = {"ascii85": "ASCII85Decode", "lzw": "LZWDecode", "run_length": "RunLengthDecode"}
-    return t("documents").select("doc_id", *[F.md5(codecs.decode(codecs.encode(data, n), n)).alias(a) for a, n in names.items()])
+    coded = {a: codecs.encode(data, n) for a, n in names.items()}
+    # the hex digits are another's, and no coded form may be the plain one
+    other = (coded["ascii85"] != data) & (coded["lzw"] != data) & (coded["run_length"] != data) | (F.octet_length(data) == 0)
+    return t("documents").select("doc_id", *[F.md5(codecs.decode(coded[a], n)).alias(a) for a, n in names.items()], F.md5(codecs.decode(F.encode(F.lower(F.hex(data)), "US-ASCII"), "ASCIIHexDecode")).alias("hex"), other.alias("other"))
 
 
-@query("""SELECT doc_id, md5(text) AS rc4, md5(text) AS aes FROM documents""")
+@query("""SELECT doc_id, md5(text) AS rc4, md5(text) AS aes, (16 + (strlen(text) // 16 + 1) * 16)::INTEGER AS sealed, TRUE AS other FROM documents""")
 def q38_ciphers(t):
     data, key = text.utf8(F.col("text")), F.unhex(F.md5(F.col("doc_id").cast("string")))
-    return t("documents").select("doc_id", F.md5(crypto.rc4(crypto.rc4(data, key), key)).alias("rc4"), F.md5(crypto.aes_cbc_decrypt(crypto.aes_cbc_encrypt(data, key), key)).alias("aes"))
+    ciphered, sealed = crypto.rc4(data, key), crypto.aes_cbc_encrypt(data, key)
+    return t("documents").select("doc_id", F.md5(crypto.rc4(ciphered, key)).alias("rc4"), F.md5(crypto.aes_cbc_decrypt(sealed, key)).alias("aes"), F.octet_length(sealed).alias("sealed"), ((ciphered != data) | (F.octet_length(data) == 0)).alias("other"))
 
 
 @query("""SELECT c_custkey, upper(substr(md5(unhex(md5('k') || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || '0000')), 1, 32)) AS object_key FROM (SELECT c_custkey, lpad(to_hex(c_custkey), 8, '0') AS h FROM customer)""")
@@ -285,15 +288,12 @@ def q44_rectangles(t):
 
 @query("""WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session::BIGINT AS session, min(ts) AS begin, count(*) AS n FROM s GROUP BY 1, 2""")
 def q45_sessions(t):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t("events").withColumn("fresh", F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1))
-    return rows.withColumn("session", F.sum("fresh").over(w)).groupBy("user_id", "session").agg(F.min("ts").alias("begin"), F.count(F.lit(1)).alias("n"))
+    return relational.sessions(t("events"), ["user_id"], "ts", "event_id", "30 MINUTES")
 
 
-@query("""SELECT o_custkey, max(o_orderkey) + 1 AS size, (ceil(log2(max(o_orderkey) + 1) / 8))::BIGINT AS bytes FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, max(o_orderkey) + 1 AS size, greatest(1, ceil(length(to_binary(max(o_orderkey))) / 8.0))::INTEGER AS bytes FROM orders GROUP BY 1""")
 def q46_index_size(t):
-    top = F.max("o_orderkey") + 1
-    return t("orders").groupBy("o_custkey").agg(top.alias("size"), F.ceil(F.log2(top) / 8).alias("bytes"))
+    return t("orders").groupBy("o_custkey").agg(relational.index_size(F.col("o_orderkey")).alias("size"), relational.field_width(F.col("o_orderkey")).alias("bytes"))
 
 
 @query("""SELECT l_orderkey, exp(sum(ln(1 + l_tax)))::DECIMAL(18, 6)::DOUBLE AS product, coalesce(avg(l_quantity), 0)::DECIMAL(18, 6)::DOUBLE AS mean FROM lineitem GROUP BY 1""")
@@ -375,6 +375,153 @@ def q58_inheritance(t):
     return relational.inherited(nations, regions, ["v"]).select(F.col("k").alias("region"), F.col("v").alias("inherited")).distinct()
 
 
+@query("""SELECT * FROM (VALUES ('rc4 Key', 'BBF316E8D940AF0AD3'), ('rc4 Wiki', '1021BF0420'), ('aes128 cbc', '7649ABAC8119B246CEE98E9B12E9197D'), ('aes256 ecb', '8EA2B7CA516745BFEAFC49904B496089'), ('lzw', '800B6050220C0C8501'), ('ascii85', '39 6A 71 6F 5E'), ('run length', '00 61 FB 62 02 63 64 65 80'), ('hex', '4D616E3E')) v(name, coded)""")
+def q59_known_answers(t):
+    """What public standards and encyclopedias give as examples."""
+    one = t("region").limit(1)
+    b = lambda digits: F.unhex(F.lit(digits))
+    ascii_ = lambda said: F.encode(F.lit(said), "US-ASCII")
+    spaced = lambda c: F.regexp_replace(F.hex(c), "(..)(?=.)", "$1 ")
+    made = {
+        "rc4 Key": F.hex(crypto.rc4(ascii_("Plaintext"), ascii_("Key"))),
+        "rc4 Wiki": F.hex(crypto.rc4(ascii_("pedia"), ascii_("Wiki"))),
+        "aes128 cbc": F.hex(crypto.aes_cbc_raw(b("6bc1bee22e409f96e93d7e117393172a"), b("2b7e151628aed2a6abf7158809cf4f3c"), b("000102030405060708090a0b0c0d0e0f"))),
+        "aes256 ecb": F.hex(crypto.aes_ecb_block(b("00112233445566778899aabbccddeeff"), b("000102030405060708090a0b0c0d0e0f101112131415161718191a1b1c1d1e1f"))),
+        "lzw": F.hex(codecs.encode(b("2D2D2D2D2D412D2D2D42"), "LZWDecode")),
+        "ascii85": spaced(codecs.encode(ascii_("Man "), "ASCII85Decode")),
+        "run length": spaced(codecs.encode(ascii_("abbbbbbcde"), "RunLengthDecode")),
+        "hex": F.hex(F.encode(F.lit("Man>"), "US-ASCII")),
+    }
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("coded")) for n, c in made.items()])))
+    return rows
+
+
+@query("""SELECT doc_id, (doc_id % 4)::INTEGER AS kind, md5(text) AS digest, TRUE AS hidden FROM documents""")
+def q60_protected_files(t):
+    """Files of all four versions, read with the user's or the owner's password; the text can't be found in the file."""
+    rows = t("documents").select("doc_id", "text")
+    found = None
+    for kind, version in enumerate((1, 2, 4, 5)):
+        files = pdf.write(rows.filter(F.col("doc_id") % 4 == kind), version=version, password="user", owner="owner").withColumn("password", F.when(F.col("doc_id") % 8 < 4, "user").otherwise("owner"))
+        plain = F.encode(F.substring("text", 1, 40), "UTF-16BE")
+        hidden = files.join(rows, "doc_id").select("doc_id", (~F.contains("content", plain)).alias("hidden"))
+        own = pdf.page_texts(files).select("doc_id", F.lit(kind).alias("kind"), "digest").join(hidden, "doc_id")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+@query("""SELECT doc_id, md5(text) AS digest, 4::BIGINT AS inside, 3::BIGINT AS apart FROM documents""")
+def q61_object_and_index_streams(t):
+    """Objects packed into a stream and an index as a stream: four of five objects fit, and the page's content, the object stream and the index stand for themselves."""
+    files = pdf.write(t("documents").select("doc_id", "text"), compressed=True)
+    entries = pdf.xref_entries(files).groupBy("doc_id").agg(F.count(F.when(F.col("entry_type") == 2, 1)).alias("inside"), F.count(F.when(F.col("entry_type") == 1, 1)).alias("apart"))
+    return pdf.page_texts(files).select("doc_id", "digest").join(entries, "doc_id")
+
+
+@query("""WITH i AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 200 END AS code, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS name FROM orders), g AS (SELECT *, count(code) OVER (PARTITION BY o_custkey ORDER BY i) AS grp FROM i), f AS (SELECT *, first_value(code) OVER (PARTITION BY o_custkey, grp ORDER BY i) AS base, row_number() OVER (PARTITION BY o_custkey, grp ORDER BY i) AS n FROM g) SELECT o_custkey, (base + n - 2)::INTEGER AS code, name FROM f WHERE name IS NOT NULL AND base IS NOT NULL""")
+def q62_differences(t):
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    items = t("orders").select("o_custkey", F.row_number().over(w).alias("i"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 200).alias("number"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("name"))
+    return relational.differences(items, ["o_custkey"], "i", "number", "name").select("o_custkey", "code", "name")
+
+
+@query("""SELECT * FROM (VALUES ('A', 'A'), ('Aacute', 'Á'), ('f_i.alt', 'fi'), ('uni00410042', 'AB'), ('u1F600', '😀'), ('alpha', 'α'), ('Euro', '€'), ('germandbls', 'ß'), ('nosuchglyph', NULL), ('ccedilla', 'ç'), ('quotedblleft', '“')) v(glyph, text)""")
+def q63_glyph_names(t):
+    wanted = ["A", "Aacute", "f_i.alt", "uni00410042", "u1F600", "alpha", "Euro", "germandbls", "nosuchglyph", "ccedilla", "quotedblleft"]
+    rows = t("region").limit(1).select(F.explode(F.array(*map(F.lit, wanted))).alias("glyph"))
+    return rows.select("glyph", glyphs.glyph_to_text("glyph").alias("text"))
+
+
+@query("""SELECT p_partkey, replace(replace(replace(p_name, 'a', 'Á'), 'e', '•'), chr(39), '’') AS text FROM part""")
+def q64_decode_with_encoding(t):
+    table = glyphs.encoding("StandardEncoding", {97: "Aacute", 101: "bullet"})
+    return t("part").select("p_partkey", glyphs.decoded(F.encode("p_name", "US-ASCII"), table).alias("text"))
+
+
+@query("""SELECT p_partkey, i::INTEGER AS i, round(coalesce(sum(w) OVER (PARTITION BY p_partkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 12 / 1000.0 + 2, 6)::DOUBLE AS pen FROM (SELECT p_partkey, i, CASE WHEN c = ' ' THEN 250 WHEN c BETWEEN 'A' AND 'Z' THEN 750 WHEN c BETWEEN 'a' AND 'z' THEN 500 WHEN c BETWEEN '0' AND '9' THEN 600 ELSE 400 END AS w FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) - 1 AS i FROM part))""")
+def q65_pen_positions(t):
+    widths = F.create_map(*[F.lit(x) for c, w in layout.plain_widths().items() for x in (c, w)])
+    rows = t("part").select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("i", "c")).withColumn("w", F.coalesce(F.element_at(widths, F.col("c")), F.lit(400.0)))
+    return relational.pen_positions(rows, ["p_partkey"], "i", "w", 12.0, 2.0).select("p_partkey", "i", F.round("pen", 6).alias("pen"))
+
+
+@query("""SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 2 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END, o_orderkey)::INTEGER AS position, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END, o_orderkey) = 1 AS chosen, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3)::BIGINT AS chunk FROM orders""")
+def q66_orders_and_choices(t):
+    rows = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    status = F.col("o_orderstatus")
+    placed = relational.written_order(rows, F.when(status == "P", 2).when(status == "O", 1).otherwise(0), ["o_custkey"], "o_orderkey")
+    chosen = relational.radio_choice(placed, ["o_custkey"], "o_orderkey", status == "P")
+    return relational.chunked(chosen, ["o_custkey"], "o_orderkey", 3).drop("o_orderstatus")
+
+
+@query("""SELECT digest, min(origin)::INTEGER AS origin FROM (SELECT md5(p_brand) AS digest, 0 AS origin FROM part UNION ALL SELECT md5(p_type), 1 FROM part UNION ALL SELECT md5(p_brand), 2 FROM part) GROUP BY 1""")
+def q67_union_of_revocation_data(t):
+    part = t("part")
+    return relational.union_distinct([part.select(F.md5(c).alias("digest")) for c in ("p_brand", "p_type", "p_brand")], "digest")
+
+
+@query("""WITH RECURSIVE e AS (SELECT l_orderkey AS a, min(l_partkey) AS b FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1), r AS (SELECT n AS node, n AS pos, 0 AS d FROM range(1, 200) x(n) UNION ALL SELECT node, b, d + 1 FROM r JOIN e ON e.a = r.pos WHERE d < 32) SELECT node, max(CASE WHEN pos IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0) THEN pos END) AS target FROM r GROUP BY 1 HAVING target IS NOT NULL""")
+def q68_resolved_references(t):
+    links = t("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("next")).select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("obj_no"), F.when(F.col("l_orderkey") % 5 != 0, F.col("next")).alias("ref"))
+    values = links.sparkSession.range(1, 200).select(F.lit(0).alias("doc_id"), F.col("id").alias("node"), F.col("id").alias("ref"))
+    return relational.resolved(values, links).filter("target IS NOT NULL").select("node", "target")
+
+
+def orders_as_objects(t) -> DataFrame:
+    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    return t("orders").select(F.col("o_custkey").alias("doc_id"), F.lit(0).alias("revision_no"), F.row_number().over(w).alias("obj_no"), F.lit(0).alias("gen_no"), F.md5(F.col("o_orderkey").cast("string")).alias("value"), (F.col("o_orderkey") % 97 + 20).alias("size"))
+
+
+OBJECTS = "o AS (SELECT o_custkey AS doc_id, 0 AS revision_no, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS obj_no, 0 AS gen_no, md5(o_orderkey::VARCHAR) AS value, o_orderkey % 97 + 20 AS size FROM orders)"
+
+
+@query(f"""WITH {OBJECTS}, p AS (SELECT *, 15 + coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY obj_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o WHERE obj_no % 4 <> 3), g AS (SELECT *, obj_no - row_number() OVER (PARTITION BY doc_id ORDER BY obj_no) AS run FROM p) SELECT doc_id, min(obj_no)::INTEGER AS first, count(*) AS n, md5(string_agg(lpad(pos::VARCHAR, 10, '0') || ' 00000 n', chr(10) ORDER BY obj_no)) AS digest FROM g GROUP BY doc_id, run""")
+def q69_written_index(t):
+    gone = orders_as_objects(t).filter("obj_no % 4 = 3").select("doc_id", "obj_no")
+    objects = orders_as_objects(t)
+    left, _ = mutations.deleted(objects, objects.select("doc_id", "obj_no", "gen_no", F.lit(1).alias("entry_type"), F.lit(0).alias("byte_offset")), gone)
+    return mutations.indexed(mutations.placed(left, "size", ["obj_no"], 15)).select("doc_id", "first", "n", F.md5("lines").alias("digest"))
+
+
+@query(f"""WITH {OBJECTS} SELECT doc_id, obj_no::INTEGER AS obj_no, CASE WHEN obj_no % 4 = 3 THEN 0 ELSE 1 END AS entry_type, CASE WHEN obj_no % 4 <> 3 THEN size END AS byte_offset, CASE WHEN obj_no % 4 = 3 THEN 1 ELSE 0 END AS gen_no FROM o""")
+def q70_deleted_entries(t):
+    objects = orders_as_objects(t)
+    entries = objects.select("doc_id", "obj_no", "gen_no", F.lit(1).alias("entry_type"), F.col("size").alias("byte_offset"))
+    _, left = mutations.deleted(objects, entries, objects.filter("obj_no % 4 = 3"))
+    return left
+
+
+@query(f"""WITH {OBJECTS}, n AS (SELECT doc_id, 1 AS revision_no, obj_no, 0 AS gen_no, md5(value) AS value FROM o WHERE size % 2 = 0), every AS (SELECT doc_id, revision_no, obj_no, value FROM o UNION ALL SELECT doc_id, revision_no, obj_no, value FROM n) SELECT doc_id, obj_no::INTEGER AS obj_no, max(revision_no)::INTEGER AS revision_no, max_by(value, revision_no) AS value FROM every GROUP BY 1, 2""")
+def q71_incremental_revision(t):
+    objects = orders_as_objects(t)
+    changes = objects.filter("size % 2 = 0").withColumn("value", F.md5("value"))
+    return relational.latest(mutations.incremental(objects, changes), ["doc_id", "obj_no"], [F.desc("revision_no")]).select("doc_id", "obj_no", "revision_no", "value")
+
+
+@query(f"""WITH {OBJECTS}, c AS (SELECT c_custkey AS doc_id, c_nationkey, row_number() OVER (PARTITION BY c_custkey ORDER BY k) AS k FROM customer CROSS JOIN (VALUES (1), (2)) v(k)) SELECT c.doc_id, (coalesce(max(o.obj_no), 0) + c.k)::INTEGER AS obj_no FROM c LEFT JOIN o USING (doc_id) GROUP BY c.doc_id, c.k""")
+def q72_next_numbers(t):
+    new = t("customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    return mutations.numbered(orders_as_objects(t), new, ["k"]).select("doc_id", "obj_no")
+
+
+@query(f"""WITH {OBJECTS} SELECT doc_id, bool_or(size % 2 = 0) AS changed FROM o GROUP BY 1""")
+def q73_modified(t):
+    objects = orders_as_objects(t)
+    return mutations.modified(objects.withColumn("value", F.when(F.col("size") % 2 == 0, F.md5("value")).otherwise(F.col("value"))), objects, "value")
+
+
+@query("""SELECT p_partkey, i::INTEGER AS i, round(20.0 * (i + 0.5) - w * 10 / 2000.0, 6)::DOUBLE AS x FROM (SELECT p_partkey, i, CASE WHEN c = ' ' THEN 250 WHEN c BETWEEN 'A' AND 'Z' THEN 750 WHEN c BETWEEN 'a' AND 'z' THEN 500 WHEN c BETWEEN '0' AND '9' THEN 600 ELSE 400 END AS w FROM (SELECT p_partkey, unnest(string_split(substr(p_name, 1, 8), '')) AS c, generate_subscripts(string_split(substr(p_name, 1, 8), ''), 1) - 1 AS i FROM part))""")
+def q74_comb(t):
+    cells = layout.comb_positions(F.col("p_name"), F.lit(8), F.lit(160.0), 10.0, layout.plain_widths())
+    return t("part").select("p_partkey", F.posexplode(cells).alias("i", "cell")).select("p_partkey", "i", F.round("cell.x", 6).alias("x"))
+
+
+@query("""SELECT p_partkey, '<</Type /XObject /Subtype /Form /BBox [0 0 ' || CASE WHEN p_partkey % 2 = 1 THEN '20 ' || p_size ELSE p_size || ' 20' END || '] /Matrix [' || CASE p_partkey % 4 WHEN 1 THEN '0 1 -1 0 ' || p_size || ' 0' WHEN 2 THEN '-1 0 0 -1 ' || p_size || ' 20' WHEN 3 THEN '0 -1 1 0 0 20' ELSE '1 0 0 1 0 0' END || '] /Resources <<>>>>' AS head, round(CASE p_partkey % 3 WHEN 1 THEN (p_size - 7.5) / 2 WHEN 2 THEN p_size - 9.5 ELSE 2 END, 6)::DOUBLE AS x FROM part""")
+def q75_form_objects(t):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    return t("part").select("p_partkey", layout.form_object(size, F.lit(20), key % 4 * 90).alias("head"), F.round(layout.quadded(size.cast("double"), F.lit(7.5), key % 3), 6).alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

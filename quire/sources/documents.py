@@ -224,6 +224,85 @@ def fields(documents: DataFrame, password: str = "") -> DataFrame:
     return parsed(documents, "obj_no int, name string, field_type string, value string, default_value string, flags int, appearance string, quadding int", work, password)
 
 
+def said(node: syntax.Node | None) -> str | None:
+    """A string's or name's text."""
+    if node is None:
+        return None
+    if isinstance(node.value, bytes):
+        return node.value.decode("utf-16-be", "replace")[1:] if node.value[:2] == b"\xfe\xff" else node.value.decode("latin-1")
+    return None if node.value is None else str(node.value)
+
+
+def follower(doc: syntax.Document):
+    """Values behind references, over references to references; None where one leads nowhere."""
+    live = doc.live()
+
+    def at(node: syntax.Node | None) -> syntax.Node | None:
+        for _ in range(32):
+            if node is None or node.kind != "reference":
+                return node
+            found = live.get(node.value[0])
+            node = found.node if found else None
+        return None
+
+    return at
+
+
+def annotations(documents: DataFrame, password: str = "") -> DataFrame:
+    """Annotations page by page: kind, normalised rectangle, flags, the states of the normal appearance and the present one, whether it is a widget, its parent and the page it names itself."""
+
+    def work(doc):
+        at = follower(doc)
+        for i, (number, page) in enumerate(leaves(doc)):
+            listed = at(page.get("Annots"))
+            for j, ref in enumerate(listed.value if listed is not None and listed.kind == "array" else []):
+                node = at(ref)
+                if node is None or node.kind != "dictionary":
+                    continue
+                corners = [float(v.value) for v in map(at, at(node.get("Rect")).value) if v is not None and v.kind == "number"] if at(node.get("Rect")) is not None and at(node.get("Rect")).kind == "array" else []
+                x1, y1, x2, y2 = corners if len(corners) == 4 else [0.0] * 4
+                normal = at(at(node.get("AP")).get("N")) if at(node.get("AP")) is not None else None
+                states = [k for k, _ in normal.value] if normal is not None and normal.kind == "dictionary" else []
+                parent, own_page, subtype = node.get("Parent"), node.get("P"), said(node.get("Subtype"))
+                yield i, number, j, ref.value[0] if ref.kind == "reference" else None, subtype, [min(x1, x2), min(y1, y2), max(x1, x2), max(y1, y2)], node.number("F"), states, said(node.get("AS")), subtype == "Widget", parent.value[0] if parent is not None and parent.kind == "reference" else None, own_page.value[0] if own_page is not None and own_page.kind == "reference" else None
+
+    return parsed(documents, "page_no int, page_obj int, place int, obj_no int, subtype string, rect array<double>, flags int, states array<string>, state string, is_widget boolean, parent_obj int, own_page int", work, password)
+
+
+def options(documents: DataFrame, password: str = "") -> DataFrame:
+    """The options of choice fields in order: what is exported and what is shown (one string is both), and whether it is chosen."""
+
+    def work(doc):
+        at = follower(doc)
+        for number, o in sorted(doc.live().items()):
+            listed = at(o.node.get("Opt")) if o.node is not None and o.node.kind == "dictionary" else None
+            if listed is None or listed.kind != "array":
+                continue
+            held = at(o.node.get("V"))
+            chosen = {said(at(v)) for v in held.value} if held is not None and held.kind == "array" else {said(held)} if held is not None else set()
+            for i, item in enumerate(map(at, listed.value)):
+                pair = [said(at(v)) for v in item.value[:2]] if item is not None and item.kind == "array" else [said(item)] * 2
+                if len(pair) == 2:
+                    yield number, i, pair[0], pair[1], pair[0] in chosen
+
+    return parsed(documents, "obj_no int, place int, export string, shown string, chosen boolean", work, password)
+
+
+def form_file(fields: list[tuple[str, str, dict]], pages: int = 1) -> bytes:
+    """A file with a form: (name, type, entries) of each field, whose widgets go to the pages in turn."""
+    kids = [(3 + i, 0) for i in range(pages)]
+    first = 3 + pages
+    objects: dict[int, object] = {
+        1: {"Type": "/Catalog", "Pages": (2, 0), "AcroForm": {"Fields": [(first + i, 0) for i in range(len(fields))], "DA": b"/Helv 0 Tf 0 g"}},
+        2: {"Type": "/Pages", "Kids": kids, "Count": pages},
+    }
+    for i in range(pages):
+        objects[3 + i] = {"Type": "/Page", "Parent": (2, 0), "MediaBox": [0, 0, 612, 792], "Annots": [(first + k, 0) for k in range(i, len(fields), pages)]}
+    for i, (name, kind, entries) in enumerate(fields):
+        objects[first + i] = {"Type": "/Annot", "Subtype": "/Widget", "FT": "/" + kind, "T": name.encode("latin-1", "replace"), "Rect": [0, 0, 10, 10], "P": kids[i % pages]} | entries
+    return syntax.write(objects, 1)
+
+
 def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: int = 0, password: str = "", owner: str | None = None, permission: int = -4, compressed: bool = False) -> DataFrame:
     """(doc_id, content): a file of one page for each text, which its content stream shows.
 
