@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, release, sliced, spooled
+from quire.llm.common import discard, pick, release, sliced, spooled
 from quire.llm.components import components
 from quire.llm.simhash import forest, traverse
 from quire.llm.suffixes import likely
@@ -235,6 +235,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = nodes.select("text_key", "kept").join(roots, F.col("text_key") == F.col("node"), "left")
     kept = rooted.groupBy(F.coalesce("root", "text_key")).agg(F.min("kept").alias("_kept"))
     kept = spooled(kept.select(F.xxhash64("_kept.doc_id", "_kept.text_key").alias("_key")))
+    discard(nodes)
     names = docs.columns
     flat = docs.toDF(*[f"__{i}" for i in range(len(names))])
     own = F.xxhash64(f"__{names.index(id_col)}", F.xxhash64(f"__{names.index(text_col)}"))

@@ -160,7 +160,7 @@ def contexts_of(batch: pa.RecordBatch | pa.Table, length: int) -> tuple[np.ndarr
 
 
 def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
-    """(key, ranges) of the rows (key, text as binary) that hold starts of repeated strings; ranges: (first start, last start)."""
+    """(_key, ranges) of the rows (key, text as binary) that hold starts of repeated strings; ranges: (first start, last start)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -241,8 +241,11 @@ def repeats(rows: DataFrame, length: int, hot: int = HOT) -> DataFrame:
         twice = each.groupBy("anchor", "print").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
         hits = hits.unionByName(each.filter("NOT known").join(twice, ["anchor", "print"], "left_semi").select("anchor", "own", F.col("place").alias("lo"), F.col("place").alias("hi")))
 
-    ranges = places.join(hits, ["anchor", "own"]).select("key", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
-    return ranges.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    ranges = places.join(hits, ["anchor", "own"]).select(F.col("key").alias("_key"), (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    found = spooled(ranges.groupBy("_key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
+    discard(places)
+    discard(kinds)
+    return found
 
 
 def likely(keys: DataFrame, n: int, key: str) -> Callable[[Column], Column]:
@@ -303,7 +306,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = dict(rows.dtypes)["doc_id"]
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    found = spooled(repeats(rows.select("key", "text"), length, hot).withColumnRenamed("key", "_key"))
+    found = repeats(rows.select("key", "text"), length, hot)
     joined = with_ranges(rows, found).select("doc_id", "key", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +358,12 @@ def trimmed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", cha
     at, own = names.index(text_col), f"_{names.index(text_col)}"
     flat = flat.withColumn("key", F.xxhash64(f"_{names.index(id_col)}", own))
     rows = flat.filter(F.col(own).isNotNull()).select("key", F.col(own).cast("binary").alias("text"))
-    tagged = lambda found, by_words: found.select(F.col("key").alias("_key"), F.transform("ranges", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), F.lit(by_words).alias("words"))).alias("ranges"))
+    tagged = lambda found, by_words: found.select("_key", F.transform("ranges", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), F.lit(by_words).alias("words"))).alias("ranges"))
     found = tagged(repeats(rows, length), False)
     if words:
         codes = spooled(coded(rows))
         found = found.unionByName(tagged(repeats(codes, CODE * words), True))
+        discard(codes)
         found = found.groupBy("_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     found = spooled(found)
     joined = with_ranges(flat, found).drop("key")

@@ -97,6 +97,38 @@ def test_base_score_and_outcomes(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_order_of_words_and_context(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "the cat sat on the mat") for i in range(20)] + [(100, "the cat sat on the mat"), (101, "mat the on sat cat the"), (102, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") < 100).collect()}
+    assert got[100].score > got[101].score + 3 and got[100].base_score == pytest.approx(got[101].base_score)
+    assert got[102].n_tokens == 1 and got[102].score < 0
+
+
+@pytest.mark.parametrize("hot", [1e9, 1e-9])
+def test_all_texts_add_up_to_one(spark, hot, monkeypatch):
+    """Every text of up to six words of two known ones and one that isn't known; hot: whether contexts are dealt to all shards."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lm, "HOT_PART", hot)
+    monkeypatch.setattr(lm, "HOT_SAMPLE", 1)
+    learnt = ["a", "b", "a b", "b b a", "", "a a", "b"] * 30
+    asked = [" ".join(t) for n in range(7) for t in product(["a", "b", "zz"], repeat=n)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(learnt)] + [(10_000 + i, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = lm.score(docs, F.col("doc_id") < 10_000, bucket_bytes=2_000, shard_bytes=3_000).collect()
+    total = sum(10.0**r.score for r in got if r.doc_id >= 10_000)
+    assert 0.97 < total <= 1.0001
+
+
+def test_held_out_is_better_than_a_plain_bigram(spark):
+    found = [r for r in lm.op10_lm(spark, DATA).collect() if r.held_out]
+    n = sum(r.n_tokens for r in found)
+    assert sum(r.base_score for r in found) / n < -4 and sum(r.score for r in found) / n > -2.7  # a bigram with one discount has -3.1
+
+
 def test_letters_add_up_to_one():
     rng = np.random.default_rng(0)
     words = [bytes(rng.integers(97, 101, int(rng.integers(0, 5))).astype(np.uint8)) for _ in range(500)]
