@@ -402,7 +402,7 @@ def q60_protected_files(t):
     rows = t("documents").select("doc_id", "text")
     found = None
     for kind, version in enumerate((1, 2, 4, 5)):
-        files = pdf.write(rows.filter(F.col("doc_id") % 4 == kind), version=version, password="user", owner="owner").withColumn("password", F.when(F.col("doc_id") % 8 < 4, "user").otherwise("owner"))
+        files = pdf.write(rows.filter(F.col("doc_id") % 4 == kind), version=version, password="user", owner="owner", revision=5).withColumn("password", F.when(F.col("doc_id") % 8 < 4, "user").otherwise("owner"))
         plain = F.encode(F.substring("text", 1, 40), "UTF-16BE")
         hidden = files.join(rows, "doc_id").select("doc_id", (~F.contains("content", plain)).alias("hidden"))
         own = pdf.page_texts(files).select("doc_id", F.lit(kind).alias("kind"), "digest").join(hidden, "doc_id")

@@ -303,12 +303,12 @@ def form_file(fields: list[tuple[str, str, dict]], pages: int = 1) -> bytes:
     return syntax.write(objects, 1)
 
 
-def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: int = 0, password: str = "", owner: str | None = None, permission: int = -4, compressed: bool = False) -> DataFrame:
+def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", version: int = 0, password: str = "", owner: str | None = None, permission: int = -4, compressed: bool = False, revision: int = 6) -> DataFrame:
     """(doc_id, content): a file of one page for each text, which its content stream shows.
 
     ``version`` 1, 2, 4 or 5: encrypted with the passwords of user and owner. ``compressed``: with object streams and an index stream.
     """
-    protect = {"version": version, "user": password.encode(), "owner": None if owner is None else owner.encode(), "permission": permission} if version else None
+    protect = {"version": version, "user": password.encode(), "owner": None if owner is None else owner.encode(), "permission": permission, "revision": revision} if version else None
     kind = dict(texts.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

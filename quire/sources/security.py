@@ -137,8 +137,11 @@ def opens4(password: bytes, owner: bytes, user: bytes, permission: int, file_id:
     return None
 
 
-def created(version: int, user: bytes = b"", owner: bytes | None = None, permission: int = -4, file_id: bytes = b"", metadata: bool = True, seed: bytes = b"") -> tuple[dict, Security]:
-    """(encryption dictionary as ``syntax.dump`` takes it, security) for a new file. ``seed`` must be different for every file."""
+def created(version: int, user: bytes = b"", owner: bytes | None = None, permission: int = -4, file_id: bytes = b"", metadata: bool = True, seed: bytes = b"", revision: int = 6) -> tuple[dict, Security]:
+    """(encryption dictionary as ``syntax.dump`` takes it, security) for a new file. ``seed`` must be different for every file.
+
+    ``revision`` 6 or 5 is for version 5: the latter's passwords are hashed once, which is much faster for reader and attacker.
+    """
     owner = user if owner is None else owner
     rules: dict[str, object] = {"Filter": "/Standard", "V": version, "P": permission}
     method = METHODS.get(version)
@@ -146,8 +149,7 @@ def created(version: int, user: bytes = b"", owner: bytes | None = None, permiss
         raise ValueError(f"encryption version {version} isn't written here")
     if version == 5:
         key = hashlib.sha256(b"key" + seed + file_id).digest()
-        rules |= {"R": 6, "Length": 256} | values5(user, owner, permission, key, seed + file_id, 6, metadata)
-        revision = 6
+        rules |= {"R": revision, "Length": 256} | values5(user, owner, permission, key, seed + file_id, revision, metadata)
     else:
         revision, length = {1: (2, 5), 2: (3, 16), 4: (4, 16)}[version]
         o = owner_value(owner, user, length, revision)
