@@ -210,18 +210,26 @@ def opened(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+class Numbers(dict):
+    """A number for each word, the next free one for a word that has none yet."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Bucket:
     """The words of a bucket's texts and their pairs, in an order that depends on what the bucket holds and on nothing else."""
 
     def __init__(self, blobs: list[bytes], shards: int, hot: np.ndarray):
-        docs, number = [], {b"": 0}
+        docs, number = [], Numbers({b"": 0})
         codes, sizes, learn = [], [], []
         for blob in blobs:
             held = opened(blob)
             docs.append(held.column("doc_id"))
             for learnt, text in zip(held.column("learn").to_pylist(), held.column("text").to_pylist()):
                 own = tokens(text)
-                codes.append(np.array([*[number.setdefault(w, len(number)) for w in own], 0], np.int32))
+                codes.append(np.array([*map(number.__getitem__, own), 0], np.int32))
                 sizes.append(len(own) + 1)
                 learn.append(learnt)
         self.docs, self.sizes = docs, np.array(sizes, np.int64)
@@ -364,7 +372,7 @@ def seated(asked: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
         total = np.bincount(u, customers, n)
         times = np.where(np.isin(every, hot), shards, 1)
         d, rng = discount_of(c), np.random.default_rng(shard)
-        tables = np.ones(len(c), np.int64)
+        tables, many = np.ones(len(c), np.int64), np.flatnonzero(c > 1)  # one customer has one table
         kept, made = np.zeros(len(c)), np.zeros(n)
         words = np.bincount(lw, tables, n).astype(np.int64)
         d_word, base = discount_of(words), 1.0 / max(1, (words > 0).sum())
@@ -373,7 +381,7 @@ def seated(asked: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
             own = seat(words, np.full(n, (STRENGTH + d_word * own.sum()) * base), d_word, rng)
             share = (words - d_word * own + (STRENGTH + d_word * own.sum()) * base) / (STRENGTH + words.sum())
             at_u = np.bincount(lu, tables, n) * times
-            tables = seat(c, (STRENGTH + d * at_u)[lu] * share[lw], d, rng)
+            tables[many] = seat(c[many], (STRENGTH + d * at_u)[lu[many]] * share[lw[many]], d, rng)
             words = np.bincount(lw, tables, n).astype(np.int64)
             if sweep >= SWEEPS - AVERAGED:
                 kept += (c - d * tables) / AVERAGED
