@@ -64,27 +64,20 @@ def escape_string(text: Column) -> Column:
 SIMPLE = {ord(a): b for a, b in zip("nrtbf()\\", (10, 13, 9, 8, 12, 40, 41, 92))}
 
 
+ESCAPED = re.compile(rb"\\(?:([0-7]{1,3})|([\r\n])|(.))", re.S)
+
+
+def _one(m: re.Match) -> bytes:
+    if m[1]:
+        return bytes([int(m[1], 8) & 255])
+    if m[2]:
+        return b""
+    return bytes([SIMPLE.get(m[3][0], m[3][0])])
+
+
 def unescape_bytes(data: bytes) -> bytes:
     """The bytes a literal string stands for: simple and octal escapes, and line continuations (of CR LF only the CR is taken)."""
-    out, i = bytearray(), 0
-    while i < len(data):
-        c = data[i]
-        i += 1
-        if c != 0x5C or i >= len(data):
-            out.append(c)
-            continue
-        c = data[i]
-        i += 1
-        if c in SIMPLE:
-            out.append(SIMPLE[c])
-        elif 48 <= c <= 55:
-            value, n = c - 48, 1
-            while n < 3 and i < len(data) and 48 <= data[i] <= 55:
-                value, n, i = value * 8 + data[i] - 48, n + 1, i + 1
-            out.append(value & 255)
-        elif c not in (10, 13):
-            out.append(c)
-    return bytes(out)
+    return ESCAPED.sub(_one, data) if b"\\" in data else data
 
 
 @F.pandas_udf(BinaryType())

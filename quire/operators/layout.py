@@ -36,25 +36,39 @@ def width_of(text: str, widths: dict[str, float], size: float) -> float:
     return sum(widths.get(c, FALLBACK * 1000) for c in text) * size / 1000
 
 
+def broken(word: str, most: float, widths: dict[str, float], size: float) -> list[str]:
+    """A word in pieces no wider than ``most``, a character at the least."""
+    pieces = [""]
+    for c in word:
+        if pieces[-1] and width_of(pieces[-1] + c, widths, size) > most:
+            pieces.append("")
+        pieces[-1] += c
+    return pieces
+
+
 def wrapped(text: str, most: float, widths: dict[str, float], size: float) -> list[str]:
-    """Lines no wider than ``most``: words are taken as long as they fit, and a word too wide is broken between characters."""
+    """Lines no wider than ``most``: a paragraph that fits is a line as it is, of others words are taken as long as they fit.
+
+    A word too wide for a line is broken between characters if it begins one; after another word it goes to the next line whole, and stays so.
+    """
     lines: list[str] = []
     for paragraph in text.split("\n"):
+        if width_of(paragraph, widths, size) <= most:
+            lines.append(paragraph)
+            continue
         line = ""
         for word in paragraph.split(" "):
             longer = f"{line} {word}" if line else word
             if width_of(longer, widths, size) <= most:
                 line = longer
-                continue
-            if line:
+            elif line:
                 lines.append(line)
-                line = ""
-            for c in word:
-                if line and width_of(line + c, widths, size) > most:
-                    lines.append(line)
-                    line = ""
-                line += c
-        lines.append(line)
+                line = word
+            else:
+                *full, line = broken(word, most, widths, size)
+                lines += full
+        if line:
+            lines.append(line)
     return lines
 
 

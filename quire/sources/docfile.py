@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
@@ -13,12 +15,24 @@ from quire.sources import syntax
 SCHEMA = "path string, version string, n_revisions int, n_objects int, length long, content binary"
 
 
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """Where a path is: a URI's file system, which drivers and executors of a cluster share, or this machine's."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def listed(path: str) -> list[str]:
-    return sorted(glob.glob(os.path.join(path, "**", "*.pdf"), recursive=True)) if os.path.isdir(path) else sorted(glob.glob(path))
+    """The files of a folder and all below it, or those of a pattern on this machine."""
+    if "://" not in path and not os.path.isdir(path):
+        return sorted(glob.glob(path))
+    where, base = filesystem(path)
+    found = where.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    head = path[: len(path.rstrip("/")) - len(base.rstrip("/"))] if "://" in path else ""
+    return sorted(head + f.path for f in found if f.type == fs.FileType.File and f.path.endswith(".pdf"))
 
 
 def row(path: str) -> tuple:
-    with open(path, "rb") as file:
+    where, at = filesystem(path)
+    with where.open_input_stream(at) as file:
         content = file.read()
     try:
         doc = syntax.read(content)
@@ -63,27 +77,57 @@ class StreamReader(SimpleDataSourceStreamReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, n: int):
-        self.n = n
+    def __init__(self, names: list[str]):
+        self.names = names
 
 
 class Writer(DataSourceWriter):
-    """Writes ``content`` to ``path`` under the target folder; a file appears whole, as it is renamed when complete."""
+    """Writes ``content`` under the last part of ``path`` to the target folder.
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    Tasks write to a folder of their own job; what they wrote is moved to the target when all have ended well, and goes if not. Two files of one
+    name, or one that is there already (but for ``overwrite``), are an error, and nothing is moved then.
+    """
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
+        self.staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
 
     def write(self, rows):
-        n = 0
+        where, staged = filesystem(self.staged)
+        own, names = uuid.uuid4().hex, []
+        where.create_dir(f"{staged}/{own}", recursive=True)
         for r in rows:
-            target = os.path.join(self.path, os.path.basename(r["path"]))
-            os.makedirs(self.path, exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as file:
-                file.write(bytes(r["content"]))
-            os.replace(part, target)
-            n += 1
-        return Written(n)
+            name = r["path"].rstrip("/").rpartition("/")[2]
+            if not name:
+                raise ValueError(f"no file name in {r['path']!r}")
+            names.append(f"{own}/{name}")
+            with where.open_output_stream(f"{staged}/{own}/{name}") as file:
+                file.write(bytes(r["content"] or b""))
+        return Written(names)
+
+    def commit(self, messages):
+        where, staged = filesystem(self.staged)
+        base = filesystem(self.path)[1]
+        names = [n for m in messages if m for n in m.names]
+        by: dict[str, int] = {}
+        for n in names:
+            by[n.partition("/")[2]] = by.get(n.partition("/")[2], 0) + 1
+        clash = sorted(n for n, k in by.items() if k > 1)
+        there = [] if self.overwrite else sorted(n for n in by if where.get_file_info(f"{base}/{n}").type != fs.FileType.NotFound)
+        if clash or there:
+            self.abort(messages)
+            raise ValueError(f"files of one name: {(clash or there)[:5]}")
+        for n in names:
+            target = f"{base}/{n.partition('/')[2]}"
+            if self.overwrite and where.get_file_info(target).type == fs.FileType.File:
+                where.delete_file(target)
+            where.move(f"{staged}/{n}", target)
+        self.abort(messages)
+
+    def abort(self, messages):
+        where, staged = filesystem(self.staged)
+        if where.get_file_info(staged).type == fs.FileType.Directory:
+            where.delete_dir(staged)
 
 
 class DocFile(DataSource):
@@ -101,7 +145,7 @@ class DocFile(DataSource):
         return StreamReader(self.options)
 
     def writer(self, schema, overwrite):
-        return Writer(self.options)
+        return Writer(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

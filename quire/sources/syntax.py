@@ -50,19 +50,18 @@ def tokens(data: bytes, at: int = 0) -> Iterator[Token]:
         at = end
 
 
+BRACKET = re.compile(rb"\\.|[()]", re.S)
+
+
 def string_end(data: bytes, at: int) -> int:
-    depth, i = 0, at
-    while i < len(data):
-        c = data[i]
-        if c == 0x5C:
-            i += 1
-        elif c == 0x28:
+    depth = 0
+    for m in BRACKET.finditer(data, at):
+        if m[0] == b"(":
             depth += 1
-        elif c == 0x29:
+        elif m[0] == b")":
             depth -= 1
             if not depth:
-                return i + 1
-        i += 1
+                return m.end()
     raise ValueError(f"string at {at} doesn't end")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.sources import syntax
 
-#: Bytes of a file that may wait for its last chunk.
+#: Bytes of a file that may wait for its last chunk, and how long it may wait for a next one.
 MOST_BYTES = 256 << 20
+PATIENCE = "1 hour"
 
 
 class Feeder:
@@ -36,38 +37,50 @@ class Feeder:
         return found
 
 
-def parsed_stream(chunks: DataFrame) -> DataFrame:
+def parsed_stream(chunks: DataFrame, arrived: str | None = None, patience: str = PATIENCE, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, n_objects, n_bytes, error) of each file of a stream of chunks (doc_id long, seq int, data binary, is_last boolean), once all have come.
 
-    Chunks may come in any order within and across triggers. The state of a file is the chunks that wait; a file that grows beyond a bound,
-    or doesn't parse, gives an error and its state goes.
+    Chunks may come in any order within and across triggers; a chunk that comes twice counts once. The state of a file is the chunks that wait. A file that
+    grows beyond ``most_bytes`` or doesn't parse gives an error and its state goes. So does one for which nothing comes for ``patience``, as the
+    times in the column ``arrived`` have it; without such a column files wait without end.
     """
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def said(key: tuple, objects: int, size: int, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": [key[0]], "n_objects": [objects], "n_bytes": [size], "error": [error]})
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, parts, last = state.get if state.exists else ([], [], -1)
-        seqs, parts = list(seqs), list(parts)
+        held = dict(zip(seqs, parts))
+        if state.hasTimedOut:
+            state.remove()
+            yield said(key, 0, sum(map(len, held.values())), "the file's end never came")
+            return
         for frame in frames:
             for r in frame.itertuples():
-                if r.seq not in seqs:
-                    seqs.append(int(r.seq))
-                    parts.append(bytes(r.data))
+                held.setdefault(int(r.seq), bytes(r.data))
                 if r.is_last:
                     last = int(r.seq)
-        size = sum(map(len, parts))
-        if last >= 0 and len(seqs) == last + 1 or size > MOST_BYTES:
+        size = sum(map(len, held.values()))
+        if last >= 0 and len(held) == last + 1 or size > most_bytes:
             if state.exists:
                 state.remove()
             try:
-                if size > MOST_BYTES:
+                if size > most_bytes:
                     raise ValueError("file is too large")
-                doc = syntax.read(b"".join(p for _, p in sorted(zip(seqs, parts))))
-                yield pd.DataFrame({"doc_id": [key[0]], "n_objects": [len(doc.objects)], "n_bytes": [size], "error": [None]})
+                doc = syntax.read(b"".join(held[i] for i in sorted(held)))
+                yield said(key, len(doc.objects), size, None)
             except (ValueError, PermissionError) as error:
-                yield pd.DataFrame({"doc_id": [key[0]], "n_objects": [0], "n_bytes": [size], "error": [str(error)]})
+                yield said(key, 0, size, str(error))
         else:
-            state.update((seqs, parts, last))
-
-    return chunks.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, n_objects int, n_bytes long, error string", "seqs array<int>, parts array<binary>, last int", "append", GroupStateTimeout.NoTimeout)
+            state.update((list(held), list(held.values()), last))
+            if arrived:
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + wait)
+
+    timeout = GroupStateTimeout.EventTimeTimeout if arrived else GroupStateTimeout.NoTimeout
+    if arrived:
+        chunks = chunks.withWatermark(arrived, "0 seconds")
+    return chunks.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, n_objects int, n_bytes long, error string", "seqs array<int>, parts array<binary>, last int", "append", timeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
