@@ -193,3 +193,50 @@ def test_a_word_of_a_wrapper_takes_nothing_with_it():
         for inner in (story, f"<article>{story}</article>"):
             assert extraction.main_text(f"<body><{wrapper}>{inner}{side}{talk}</{wrapper.split()[0]}><footer>Copyright, all.</footer></body>") == want
     assert extraction.main_text(f'<body><div class="post">{story}</div>{side}{talk}</body>') == want
+
+
+def built_page(rng):
+    """A page of known parts, and the article's text; the article stands in any of several wrappers, few of them an article element."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    paragraph = lambda: " ".join(sentence(rng.randrange(6, 16)) for _ in range(rng.randrange(3, 7)))
+    title, texts = sentence(5).rstrip("."), [paragraph() for _ in range(rng.randrange(3, 8))]
+
+    def marked_up(text):
+        words = text.split()
+        for _ in range(rng.randrange(3)):
+            i = rng.randrange(len(words))
+            words[i] = rng.choice(["<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>"]).format(words[i])
+        return "<p>" + "\n ".join(words) + "</p>"
+
+    comments = rng.choice(["", f'<section class="comments"><div class="comment"><p>{paragraph()}</p></div><div class="comment"><p>{sentence(9)}</p></div></section>'])
+    body = f"<h1>{title}</h1>" + "".join(map(marked_up, texts)) + rng.choice([comments, ""]) + rng.choice(["", '<div class="share"><a href=1>Tweet</a> <a href=2>Mail</a></div>', f"<form><label>{sentence(3)}</label><input name=q></form>"])
+    opening, closing = rng.choice([("<article>", "</article>"), ('<div class="post">', "</div>"), ('<section class="social-science">', "</section>"), ('<div id="page-header-story">', "</div>"), ("<main><div>", "</div></main>"), ('<div class="content has-sidebar">', "</div>")])
+    around = [
+        f"<nav><ul>{''.join(f'<li><a href=/>{word()}</a></li>' for _ in range(8))}</ul></nav>",
+        f'<div class="sidebar"><h3>{word()}</h3><p>{sentence(8)}</p></div>',
+        f'<div id="cookie-notice">{sentence(9)}</div>',
+        f'<div class="ad">{sentence(6)}</div>',
+        f"<aside><p>{sentence(12)}</p></aside>",
+        f"<header><h1>{word()}</h1><p>{sentence(4)}</p></header>",
+    ]
+    rng.shuffle(around)
+    cut = rng.randrange(len(around) + 1)
+    page = f"<html><head><title>{title}</title><style>p{{}}</style></head><body class='{word()}'>{''.join(around[:cut])}{opening}{body}{closing}{comments}{''.join(around[cut:])}<footer><p>{sentence(7)}</p></footer><script>var a = '<p>x</p>';</script></body></html>"
+    return page, " ".join([title, *texts])
+
+
+def test_extraction_of_built_pages(monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    pages = [built_page(rng) for _ in range(120)]
+    for page, want in pages:
+        assert extraction.main_text(page) == want
+    monkeypatch.setattr(extraction, "SHARE", 0.0)
+    assert sum(extraction.main_text(page) != want for page, want in pages) == len(pages)  # the threshold is what decides
+
+
+def test_pages_without_an_article():
+    for page in ("", None, "<nav><a href=/>Home</a> <a href=/>More, of it.</a></nav>", "<body><footer>Copyright, all.</footer></body>", '<div class="comments"><p>Great, thanks! So, yes.</p></div>', "<script>text</script>"):
+        assert extraction.main_text(page) == ""
