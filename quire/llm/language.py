@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,9 +23,7 @@ MOST_GRAMS = 40_000
 #: Numbers of the model, and of the words that a task has scored, at most: with more languages there are fewer pieces of each.
 MOST_CELLS = 20_000_000
 LONGEST = 5
-#: Letters: what counts as part of a word but for digits and other numbers.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORDS = re.compile(rf"[^\W\d_{NUMBERS}]+")
+WORDS = re.compile(r"[^\W\d_]+")
 CACHE = 400_000
 UNKNOWN = "und"
 
@@ -37,6 +34,16 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def words_of(text: str) -> Counter:
+    """The words of a text in lower case, runs of letters, with their numbers of times; fractions, Roman and other numbers are no letters."""
+    found = Counter(WORDS.findall(text.lower()))
+    for word in [w for w in found if not w.isalpha()]:
+        n = found.pop(word)
+        for piece in "".join(c if c.isalpha() else " " for c in word).split():
+            found[piece] += n
+    return found
+
+
 def counted(sample: DataFrame) -> DataFrame:
     """(lang, size, piece, n) of a bounded sample: size 0 for words, else the n-gram's length; the piece '' holds the sum."""
 
@@ -44,7 +51,7 @@ def counted(sample: DataFrame) -> DataFrame:
         words: dict[str, Counter] = {}
         for batch in sliced(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
         for lang, own in words.items():
             for size in range(LONGEST + 1):
                 pieces: Counter = Counter()
@@ -130,7 +137,7 @@ class Identifier:
 
     def identify(self, text: str | None) -> tuple[str, float]:
         """(language, score): the language of the highest mean score over all words, ties to the first by name."""
-        words = Counter(WORDS.findall((text or "").lower()))
+        words = words_of(text or "")
         if not words or not self.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.langs))

@@ -33,7 +33,7 @@ def test_word_first_then_shorter_grams():
 def test_letters_only():
     own = language.Identifier({"langs": ["en"], "index": [{"a": 0}] + [{} for _ in range(language.LONGEST)], "matrix": np.array([[-1]], np.float32)})
     assert own.identify("½ ² Ⅷ ① ٣ 7_") == ("und", 0.0) and own.identify("½a²")[0] == "en"
-    assert language.WORDS.findall("Straße naïve_日本 x2y") == ["Straße", "naïve", "日本", "x", "y"]
+    assert language.words_of("Straße naïve_日本 x2y a½a") == {"straße": 1, "naïve": 1, "日本": 1, "x": 1, "y": 1, "a": 2}
 
 
 def test_very_many_languages_and_ties(spark):
