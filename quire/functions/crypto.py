@@ -131,3 +131,9 @@ def opens(password: bytes, owner: bytes, user: bytes, permission: int, file_id:
         if user_value(key, file_id, revision)[:16] == user[:16]:
             return key
     return None
+
+
+def random_bytes(n: int, seed: int | None = None) -> Column:
+    """``n`` bytes that differ from row to row; not a secret's source."""
+    word = lambda i: F.md5(F.concat(F.lit(f"{i}:"), (F.rand() if seed is None else F.rand(seed + i)).cast("string"), F.expr("uuid()") if seed is None else F.lit("")))
+    return F.substring(F.unhex(F.concat(*[word(i) for i in range(-(-n // 16) or 1)])), 1, n)

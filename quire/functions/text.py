@@ -207,3 +207,13 @@ def default_appearance(da: Column) -> Column:
 
 def default_appearance_text(font: Column, size: Column, color: Column) -> Column:
     return F.concat(F.lit("/"), font, F.lit(" "), size, F.lit(" Tf "), color)
+
+
+def base64_text(data: Column) -> Column:
+    """Base 64 in one line, with padding."""
+    return F.regexp_replace(F.base64(data), "[\r\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes of base 64; white space doesn't matter, and what isn't base 64 is null."""
+    return F.try_to_binary(F.regexp_replace(text, r"\s", ""), F.lit("base64"))

@@ -98,3 +98,34 @@ def imported(fields: DataFrame, data: DataFrame) -> DataFrame:
 def export_states(states: Column) -> Column:
     """A button's on states."""
     return F.filter(states, lambda s: s != "Off")
+
+
+#: What a field is by its type; anything else is handled as text.
+KINDS = {"Tx": "text", "Btn": "button", "Ch": "choice", "Sig": "signature"}
+
+
+def field_kind(field_type: Column, flags_: Column) -> Column:
+    """text, checkbox, radio, push, combo, list or signature; an unknown type is text."""
+    has = lambda bit: flags_.bitwiseAND(F.lit(bit)) != 0
+    return (
+        F.when(field_type == "Btn", F.when(has(1 << 16), "push").when(has(1 << 15), "radio").otherwise("checkbox"))
+        .when(field_type == "Ch", F.when(has(1 << 17), "combo").otherwise("list"))
+        .when(field_type == "Sig", "signature")
+        .otherwise("text")
+    )
+
+
+def propagated(fields: DataFrame, changes: DataFrame) -> DataFrame:
+    """``fields`` (doc_id, obj_no, parent, name, value) in which a changed value reaches every field of the same name in its document: the field, its siblings and its children.
+
+    The last change of a name (``changes``: doc_id, name, value, ordinal) counts. ``dirty`` marks the fields whose appearance must be made anew.
+    """
+    last = changes.groupBy("doc_id", "name").agg(F.max_by(F.struct("value"), "ordinal").alias("_new"))
+    joined = fields.join(last, ["doc_id", "name"], "left")
+    dirty = F.col("_new").isNotNull() & ~F.col("_new.value").eqNullSafe(F.col("value"))
+    return joined.withColumn("dirty", F.coalesce(dirty, F.lit(False))).withColumn("value", F.when(F.col("_new").isNotNull(), F.col("_new.value")).otherwise(F.col("value"))).drop("_new").select(*fields.columns, "dirty")
+
+
+def pair_options(options: Column) -> Column:
+    """(export, shown) of options written as pairs joined by a tab, or as one text that is both."""
+    return F.transform(options, lambda o: F.struct(F.split(o, "\t")[0].alias("export"), F.when(F.contains(o, F.lit("\t")), F.split(o, "\t")[1]).otherwise(o).alias("shown")))

@@ -244,3 +244,27 @@ def differences(items: DataFrame, part: list[str], order: str, number: str, name
 def chunked(rows: DataFrame, part: list[str], order: str, size: int = 100) -> DataFrame:
     """Rows with ``chunk``, of ``size`` in order: a character map lists no more than a hundred at a time."""
     return rows.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(*part).orderBy(order)) - 1) / size))
+
+
+def joined_bytes(data: Column, order: Column) -> Column:
+    """Aggregate: all pieces one after another, in order."""
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.hex(data).alias("d")))), lambda x: x["d"])
+    return F.unhex(F.array_join(pieces, ""))
+
+
+def cut(files: DataFrame, size: int = 1024) -> DataFrame:
+    """(doc_id, seq, data, is_last) of files (doc_id, content): pieces of ``size`` bytes, the last what is left; an empty file is one empty piece."""
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length("content") / size)).cast("int")
+    rows = files.select("doc_id", "content", n.alias("_n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    return rows.select("doc_id", "seq", F.substring(F.col("content"), F.col("seq") * size + 1, F.lit(size)).alias("data"), (F.col("seq") == F.col("_n") - 1).alias("is_last"))
+
+
+def linked(references: DataFrame, part: list[str], offset: str) -> DataFrame:
+    """References with ``link``: those of one offset share one, numbered by offset, so that a change reaches all of them."""
+    return references.withColumn("link", F.dense_rank().over(W.partitionBy(*part).orderBy(offset)))
+
+
+def line_positions(lines: DataFrame, part: list[str], order: str, size: float, top: float, leading: float = 1.2) -> DataFrame:
+    """Lines with ``line`` (from 0) and ``y``, their base line: the first a size below the top, each other a step below the one before."""
+    placed = lines.withColumn("line", F.row_number().over(W.partitionBy(*part).orderBy(order)) - 1)
+    return placed.withColumn("y", F.lit(top - size) - F.col("line") * (size * leading))

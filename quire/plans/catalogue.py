@@ -522,6 +522,46 @@ def q75_form_objects(t):
     return t("part").select("p_partkey", layout.form_object(size, F.lit(20), key % 4 * 90).alias("head"), F.round(layout.quadded(size.cast("double"), F.lit(7.5), key % 3), 6).alias("x"))
 
 
+@query("""SELECT doc_id, seq::INTEGER AS seq, substr(text, (seq * 1024 + 1)::BIGINT, 1024) AS piece, seq = n - 1 AS is_last FROM (SELECT doc_id, text, n, unnest(range(n)) AS seq FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS text, greatest(1, ceil(length(text) / 1024.0))::BIGINT AS n FROM documents))""")
+def q76_chunks(t):
+    plain = F.encode(F.regexp_replace("text", "[^ -~]", "?"), "US-ASCII")
+    return relational.cut(t("documents").select("doc_id", plain.alias("content"))).select("doc_id", "seq", F.decode("data", "US-ASCII").alias("piece"), "is_last")
+
+
+@query("""SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest, to_base64(encode(string_agg(role, '' ORDER BY turn))) AS roles FROM conversations GROUP BY 1""")
+def q77_joined_bytes(t):
+    rows = t("conversations").groupBy("conv_id").agg(relational.joined_bytes(text.utf8(F.col("text")), F.col("turn")).alias("all"), relational.joined_bytes(text.utf8(F.col("role")), F.col("turn")).alias("roles"))
+    return rows.select("conv_id", F.md5("all").alias("digest"), text.base64_text(F.col("roles")).alias("roles"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN CASE WHEN p_partkey % 131072 & 65536 <> 0 THEN 'push' WHEN p_partkey & 32768 <> 0 THEN 'radio' ELSE 'checkbox' END WHEN p_size % 4 = 1 THEN CASE WHEN p_partkey & 131072 <> 0 THEN 'combo' ELSE 'list' END WHEN p_size % 4 = 2 THEN 'signature' ELSE 'text' END AS kind FROM part""")
+def q78_field_kinds(t):
+    kind = F.when(F.col("p_size") % 4 == 0, "Btn").when(F.col("p_size") % 4 == 1, "Ch").when(F.col("p_size") % 4 == 2, "Sig").otherwise("Other")
+    return t("part").select("p_partkey", forms.field_kind(kind, F.col("p_partkey")).alias("kind"))
+
+
+@query("""WITH c AS (SELECT n_regionkey AS r, max_by(n_name, n_nationkey) AS v FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1) SELECT n_nationkey AS obj_no, coalesce(v, n_name) AS value, v IS NOT NULL AND v <> n_name AS dirty FROM nation LEFT JOIN c ON r = n_regionkey AND n_regionkey <> 3""")
+def q79_propagated_values(t):
+    nation = t("nation")
+    fields = nation.select(F.lit(1).alias("doc_id"), F.col("n_nationkey").alias("obj_no"), F.lit(None).cast("int").alias("parent"), F.col("n_regionkey").cast("string").alias("name"), F.col("n_name").alias("value"))
+    changes = nation.filter("n_nationkey % 2 = 0 AND n_regionkey <> 3").select(F.lit(1).alias("doc_id"), F.col("n_regionkey").cast("string").alias("name"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("ordinal"))
+    return forms.propagated(fields, changes).select("obj_no", "value", "dirty")
+
+
+@query("""SELECT o_orderkey, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderkey // 7)::INTEGER AS link, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INTEGER - 1 AS line, round(90.0 - (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 12.0, 6)::DOUBLE AS y FROM orders""")
+def q80_links_and_lines(t):
+    rows = t("orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_orderkey") / 7).alias("at"))
+    placed = relational.line_positions(relational.linked(rows, ["o_custkey"], "at"), ["o_custkey"], "o_orderkey", 10.0, 100.0)
+    return placed.select("o_orderkey", "link", "line", F.round("y", 6).alias("y"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, l_partkey AS size FROM lineitem) SELECT doc_id, n, least(size, 400)::INTEGER AS bytes, TRUE AS differs FROM s""")
+def q81_random_bytes(t):
+    rows = t("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("n"), F.least("l_partkey", F.lit(400)).cast("int").alias("bytes"), crypto.random_bytes(400).alias("a"), crypto.random_bytes(400).alias("b"))
+    cut_ = rows.withColumn("a", F.substring(F.col("a"), F.lit(1), F.col("bytes")))
+    return cut_.select("doc_id", "n", F.octet_length("a").alias("bytes"), (F.col("a") != F.col("b")).alias("differs"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
