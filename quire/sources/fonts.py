@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions import glyphs
+
 MOST_BYTES = 64 << 20
 
 
@@ -87,6 +89,79 @@ def metrics(data: bytes) -> dict[str, object]:
     return {"units_per_em": units, "ascent": scale(ascent), "descent": scale(descent), "box": [scale(v) for v in struct.unpack(">4h", head[36:44])], "weight": weight, "has_outlines": "glyf" in t, "is_cff": "CFF " in t, "widths": widths}
 
 
+def checksum(data: bytes) -> int:
+    padded = data + b"\0" * (-len(data) % 4)
+    return sum(struct.unpack(f">{len(padded) // 4}I", padded)) & 0xFFFFFFFF
+
+
+def plain_font(found: dict[str, bytes], version: bytes = b"\0\1\0\0") -> bytes:
+    """A font file of tables, in order of their tags, each on a multiple of four bytes."""
+    tags = sorted(found)
+    power = 1 << max(0, len(tags).bit_length() - 1)
+    out = version + struct.pack(">4H", len(tags), power * 16, power.bit_length() - 1, 16 * (len(tags) - power))
+    at, body = 12 + 16 * len(tags), b""
+    for tag in tags:
+        data = found[tag]
+        out += struct.pack(">4sIII", tag.encode("latin-1"), checksum(data), at + len(body), len(data))
+        body += data + b"\0" * (-len(data) % 4)
+    return out + body
+
+
+def compressed_font(data: bytes) -> bytes:
+    """The compressed form of a font file: tables by tag, each deflated where that makes it smaller."""
+    found = tables(data)
+    entries, at, body, plain = b"", 44 + 20 * len(found), b"", 12 + 16 * len(found)
+    for tag in sorted(found):
+        small = zlib.compress(found[tag], 9)
+        small = small if len(small) < len(found[tag]) else found[tag]
+        entries += struct.pack(">4sIIII", tag.encode("latin-1"), at + len(body), len(small), len(found[tag]), checksum(found[tag]))
+        body += small + b"\0" * (-len(small) % 4)
+        plain += len(found[tag]) + (-len(found[tag]) % 4)
+    head = struct.pack(">4s4sIHHIHHIIIII", b"wOFF", data[:4] if data[:4] != b"wOFF" else data[4:8], at + len(body), len(found), 0, plain, 1, 0, 0, 0, 0, 0, 0)
+    return head + entries + body
+
+
+def font_names(data: bytes) -> dict[int, str]:
+    """The texts of a font's name table by number (1 family, 2 style, 4 full name, 6 PostScript name); of several, the first that reads as Unicode."""
+    own = tables(data).get("name", b"")
+    if len(own) < 6:
+        return {}
+    count, start = struct.unpack(">HH", own[2:6])
+    found: dict[int, str] = {}
+    for i in range(count):
+        platform, _, _, number, size, at = struct.unpack(">6H", own[6 + 12 * i : 18 + 12 * i])
+        said = own[start + at : start + at + size].decode("utf-16-be" if platform in (0, 3) else "mac_roman", "replace")
+        if number not in found or platform in (0, 3):
+            found.setdefault(number, said) if platform not in (0, 3) else found.update({number: said})
+    return found
+
+
+def embedded(data: bytes, text: str, name: str, number: int) -> dict[int, object]:
+    """The six objects, from ``number`` on, of a font for two-byte codes that shows ``text``: codes are the characters' code points in the basic plane.
+
+    A font with outlines of the other kind, or without a character of the text, is a ValueError.
+    """
+    m, units = metrics(data), tables(data)
+    if m["is_cff"]:
+        raise ValueError("outlines of this kind aren't embedded")
+    glyph_of = character_map(units["cmap"])
+    codes = sorted({ord(c) for c in text})
+    lost = [chr(c) for c in codes if c not in glyph_of or c > 0xFFFF]
+    if lost:
+        raise ValueError(f"the font lacks {lost[:5]}")
+    descriptor = {"Type": "/FontDescriptor", "FontName": "/" + name, "Flags": 32, "FontBBox": m["box"], "ItalicAngle": 0, "Ascent": m["ascent"], "Descent": m["descent"], "CapHeight": m["ascent"], "StemV": 50 + m["weight"] // 8, "FontFile2": (number + 3, 0)}
+    file = plain_font(units)
+    child = {"Type": "/Font", "Subtype": "/CIDFontType2", "BaseFont": "/" + name, "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "FontDescriptor": (number + 2, 0), "DW": round(sum(m["widths"].values()) / max(1, len(m["widths"]))), "W": glyphs.width_array({c: m["widths"][c] for c in codes}), "CIDToGIDMap": (number + 5, 0)}
+    return {
+        number: {"Type": "/Font", "Subtype": "/Type0", "BaseFont": "/" + name, "Encoding": "/Identity-H", "DescendantFonts": [(number + 1, 0)], "ToUnicode": (number + 4, 0)},
+        number + 1: child,
+        number + 2: descriptor,
+        number + 3: ({"Length1": len(file), "Filter": "/FlateDecode"}, zlib.compress(file)),
+        number + 4: ({"Filter": "/FlateDecode"}, zlib.compress(glyphs.to_unicode_map({c: chr(c) for c in codes}).encode())),
+        number + 5: ({"Filter": "/FlateDecode"}, zlib.compress(glyphs.cid_to_gid({c: glyph_of[c] for c in codes}))),
+    }
+
+
 def fonts(files: DataFrame) -> DataFrame:
     """(doc_id, units_per_em, ascent, descent, box, weight, is_cff, widths by code point, error) of font files (doc_id, content)."""
     kind = dict(files.dtypes)["doc_id"]

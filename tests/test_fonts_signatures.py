@@ -2,9 +2,11 @@ import hashlib
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import signatures
+from quire.functions import glyphs
 from quire.sources import documents, fonts, syntax
 
 
@@ -66,3 +68,18 @@ def test_signatures(spark):
     assert found[1].sha256 == hashlib.sha256(signed[:at] + signed[at + 66 :]).hexdigest()
     row = spark.range(1).select(signatures.byte_range(F.lit(at), F.lit(66), F.lit(len(signed))).alias("r")).first()
     assert row.r == list(found[1].byte_range)
+
+
+def test_fonts_written_and_embedded():
+    plain = packed(font())
+    again = fonts.compressed_font(plain)
+    assert fonts.tables(again) == fonts.tables(plain) and fonts.tables(fonts.plain_font(fonts.tables(again))) == fonts.tables(plain)
+    tags = [again[44 + 20 * i : 48 + 20 * i] for i in range(len(font()))]
+    assert tags == sorted(tags)
+    objects = fonts.embedded(plain, "ABBA", "Own", 10)
+    doc = syntax.read(syntax.write({1: {"Type": "/Catalog"}} | objects, 1)).live()
+    assert fonts.tables(syntax.stream_data(doc[13].node)) == fonts.tables(plain)
+    assert glyphs.read_unicode_map(syntax.stream_data(doc[14].node).decode()) == {65: "A", 66: "B"}
+    assert glyphs.read_width_array(objects[11]["W"]) == {65: 601, 66: 651} and len(syntax.stream_data(doc[15].node)) == 2 * 67
+    with pytest.raises(ValueError):
+        fonts.embedded(plain, "A日", "Own", 10)
