@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, extraction, language, lm, mixing, search, simhash, suffixes, toxicity
+from quire.llm import chat, decontaminate, extraction, jaccard, language, lm, mixing, search, simhash, suffixes, toxicity
 from quire.llm.common import fold
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, component_id string, fp int, size string, key int, ranges string, score string, `a.b` int, copy int, _key string, Learn boolean"
@@ -84,3 +84,61 @@ def test_other_tables(spark):
     assert sorted(r.id for r in own.collect()) == [1, 6, 7]
     assert {(r.query_id, r.vec_id, r.score) for r in search.top_k(own, own.filter("id = 1")).collect()} == {(1, 6, 0), (1, 7, 256 * 128 - 512 * 256)}
     assert search.top_k(own.limit(0), own).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>A text, of some length.</p>", "x", 9, "T")], "page_id long, url string, html string, text string, n_chars int, PAGE_ID string")
+    assert [tuple(r) for r in extraction.extract(pages).collect()] == [(1, "u", "A text, of some length.", 23)]
+    talk = spark.createDataFrame([(1, 0, "system", "s", 5, "w", "k", 1), (1, 1, "assistant", "a", 5, "w", "k", 1)], "conv_id long, turn long, role string, text string, segment int, window string, kind string, tokens int")
+    assert [(r.n_turns, r.loss_chars) for r in chat.digests(chat.format_windows(talk)).collect()] == [(2, 1)]
+    assert chat.format_windows(talk, segment=4).count() == 2
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], i, "x", 0.5, i, 2) for i in range(1, 6)], "vec_id long, embedding array<float>, id int, vector string, length double, query_id int, rank int")
+    own = search.quantised(vectors)
+    assert [(r.rank, r.vec_id) for r in search.top_k(own, own.filter("id = 1")).orderBy("rank").collect()] == [(1, 5), (2, 4), (3, 3), (4, 2)]
+
+
+def test_very_long_words_and_one_repeated_word(spark):
+    rows = [(1, "x" * 300_000), (2, "x" * 300_000 + " y"), (3, "na " * 100_000), (4, "na " * 100_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lm.score(docs, F.lit(True)).filter("score < 0").count() == 4
+    assert suffixes.without_repeats(docs, digest_only=True).filter("n_removed >= 299000").count() == 4
+    assert jaccard.one_of_each(docs).count() >= 2
+    assert simhash.near_duplicates(docs).count() == 4
+    weights = {"": -1.0, "na$": 0.5, "na$%": 2.0}
+    assert {r.doc_id: r.predicted for r in toxicity.scored(docs, weights).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_clean_without_shared_folder_is_an_error(spark):
+    from quire.llm import common
+
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, other=None):
+                return other
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+
+
+def test_spools_are_deleted(spark):
+    import os
+
+    from quire.llm import common
+
+    made = common.spooled(spark.range(3).withColumn("kind", F.col("id") % 2), by="kind")
+    folder = made.spool.removeprefix("file:")
+    assert made.filter("kind = 1").count() == 1 and os.path.isdir(folder)
+    common.discard(made, "kind=1")
+    assert sorted(x for x in os.listdir(folder) if "=" in x) == ["kind=0"]
+    common.discard(made)
+    assert not os.path.exists(folder)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
