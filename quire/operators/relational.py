@@ -71,7 +71,7 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     while not fresh.isEmpty():
         found = fresh.join(links, ["doc_id", "node"]).select("doc_id", F.col("target").alias("node")).distinct()
         fresh = found.join(known, ["doc_id", "node"], "left_anti").checkpoint()
-        known = known.unionByName(fresh).checkpoint()
+        known = known.unionByName(fresh)  # of what each step wrote
     return known
 
 

@@ -309,20 +309,34 @@ def q48_closure(t):
     return relational.closure(edges, roots).select("node")
 
 
-@query("""SELECT doc_id, kind, n::BIGINT AS n FROM documents CROSS JOIN (VALUES ('dictionary', 4), ('stream', 1)) k(kind, n)""")
+def paged_files(t) -> DataFrame:
+    """A file for each eleven documents in a row, a page each, whose size and turn depend on the document."""
+    rows = t("documents").select(F.floor(F.col("doc_id") / 11).alias("doc_id"), F.col("doc_id").alias("page_no"), "text", (100 + F.col("n_chars") % 700).alias("width"), (200 + F.col("doc_id") % 50).alias("height"), (F.col("doc_id") % 4 * 90).alias("rotate"))
+    return pdf.write_pages(rows)
+
+
+FILES = "f AS (SELECT doc_id // 11 AS doc_id, count(*) AS n, ceil(count(*) / 10.0)::BIGINT AS branches FROM documents GROUP BY 1)"
+
+
+@query(f"""WITH {FILES} SELECT doc_id, 'dictionary' AS kind, n + branches + 3 AS n FROM f UNION ALL SELECT doc_id, 'stream', n FROM f""")
 def q49_object_kinds(t):
-    return pdf.objects(pdf.write(t("documents").select("doc_id", "text"))).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return pdf.objects(paged_files(t)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, 6::BIGINT AS entries, 5::BIGINT AS live, 0 AS first_free FROM documents""")
+@query(f"""WITH {FILES} SELECT doc_id, 2 * n + branches + 4 AS entries, 2 * n + branches + 3 AS live, 0 AS first_free FROM f""")
 def q50_index_entries(t):
-    entries = pdf.xref_entries(pdf.write(t("documents").select("doc_id", "text")))
+    entries = pdf.xref_entries(paged_files(t))
     return entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.when(F.col("entry_type") == 1, 1).otherwise(0)).alias("live"), F.min(F.when(F.col("entry_type") == 0, F.col("obj_no"))).alias("first_free"))
 
 
-@query("""SELECT doc_id, 0 AS page_no, 612.0::DOUBLE AS width, 792.0::DOUBLE AS height, 0 AS rotate FROM documents""")
+@query("""SELECT doc_id // 11 AS doc_id, (row_number() OVER (PARTITION BY doc_id // 11 ORDER BY doc_id) - 1)::INTEGER AS page_no, (100 + n_chars % 700)::DOUBLE AS width, (200 + doc_id % 50)::DOUBLE AS height, (doc_id % 4 * 90)::INTEGER AS rotate FROM documents""")
 def q51_pages(t):
-    return pdf.pages(pdf.write(t("documents").select("doc_id", "text"))).select("doc_id", "page_no", "width", "height", "rotate")
+    return pdf.pages(paged_files(t)).select("doc_id", "page_no", "width", "height", "rotate")
+
+
+@query("""SELECT doc_id // 11 AS doc_id, count(*)::INTEGER AS n_pages, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+def q82_texts_of_pages(t):
+    return pdf.page_texts(paged_files(t)).select("doc_id", "n_pages", "digest")
 
 
 @query("""SELECT n_regionkey AS doc_id, sum(n_nationkey)::VARCHAR AS total, (2 * sum(n_nationkey))::VARCHAR AS twice FROM nation GROUP BY 1""")

@@ -323,6 +323,36 @@ def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vers
     return texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, content binary")
 
 
+def write_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, content): a file of each document's pages (doc_id, page_no, text, width, height, rotate), in order of their numbers, in a tree of up to ten a branch."""
+    kind = dict(pages.dtypes)["doc_id"]
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.col("rotate").cast("long").alias("rotate")))).alias("pages"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for own in batch.column("pages").to_pylist():
+                branches = [own[i : i + 10] for i in range(0, len(own), 10)]
+                objects: dict[int, object] = {1: {"Type": "/Catalog", "Pages": (2, 0)}, 3: {"Type": "/Font", "Subtype": "/Type1", "BaseFont": "/Helvetica"}}
+                number, kids = 4, []
+                for branch in branches:
+                    node, leaves_ = number, []
+                    number += 1
+                    for page in branch:
+                        shown = b"BT /F1 12 Tf 72 720 Td " + syntax.dump(b"\xfe\xff" + (page["text"] or "").encode("utf-16-be")) + b" Tj ET"
+                        objects[number] = {"Type": "/Page", "Parent": (node, 0), "MediaBox": [0, 0, page["width"], page["height"]], "Rotate": page["rotate"], "Contents": (number + 1, 0), "Resources": {"Font": {"F1": (3, 0)}}}
+                        objects[number + 1] = ({}, shown)
+                        leaves_.append((number, 0))
+                        number += 2
+                    objects[node] = {"Type": "/Pages", "Parent": (2, 0), "Kids": leaves_, "Count": len(leaves_)}
+                    kids.append((node, 0))
+                objects[2] = {"Type": "/Pages", "Kids": kids, "Count": len(own)}
+                made.append(syntax.write(dict(sorted(objects.items())), 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["doc_id", "content"])
+
+    return held.mapInArrow(run, f"doc_id {kind}, content binary")
+
+
 def page_texts(documents: DataFrame, password: str = "") -> DataFrame:
     """(doc_id, n_pages, n_objects, digest): the md5 of the UTF-8 text that the pages' content streams show."""
     import hashlib
