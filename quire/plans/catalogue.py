@@ -262,9 +262,15 @@ def q40_text_width(t):
     return t("part").select("p_partkey", F.round(layout.text_width(F.col("p_name"), layout.plain_widths(), 12.0), 6).alias("width"))
 
 
-@query()
+WIDE = "coalesce(list_sum(list_transform(string_split(regexp_extract(acc, '[^' || chr(10) || ']*$') || ' ' || w, ''), lambda c: CASE WHEN c = ' ' THEN 250 WHEN c BETWEEN 'A' AND 'Z' THEN 750 WHEN c BETWEEN 'a' AND 'z' THEN 500 WHEN c BETWEEN '0' AND '9' THEN 600 ELSE 400 END)), 0)"
+WRAPPED = f"list_reduce(string_split(t, ' '), lambda acc, w: acc || CASE WHEN {WIDE} * SIZE <= 150000 THEN ' ' ELSE chr(10) END || w)"
+
+
+@query(f"""SELECT item_id, {WRAPPED.replace("SIZE", "10")} AS lines, list_max(list_filter(range(1, 25), lambda h: h = 1 OR len(string_split({WRAPPED.replace("SIZE", "h / 2.0")}, chr(10))) * h / 2.0 * 1.2 <= 60)) / 2.0 AS size FROM (SELECT item_id, regexp_replace(text, '[^a-zA-Z0-9. ]', 'x', 'g') AS t FROM benchmark)""")
 def q41_wrap_and_fit(t):
-    return t("documents").select("doc_id", layout.wrap_text(F.col("text"), 400.0, 10.0).alias("lines"), layout.fitting_size(F.col("text"), 400.0, 300.0).alias("size")).select("doc_id", F.size("lines").alias("n_lines"), "size")
+    """Lines of at most 150 units, and the largest size at which they are at most 60 high; no word is wider than a line."""
+    rows = t("benchmark").select("item_id", F.regexp_replace("text", "[^a-zA-Z0-9. ]", "x").alias("t"))
+    return rows.select("item_id", F.array_join(layout.wrap_text(F.col("t"), 150.0, 10.0), "\n").alias("lines"), layout.fitting_size(F.col("t"), 150.0, 60.0).alias("size"))
 
 
 @query("""SELECT doc_id, 1 AS n_pages, 5 AS n_objects, md5(text) AS digest FROM documents""")
