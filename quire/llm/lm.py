@@ -146,12 +146,14 @@ def words_in(blob: bytes) -> list[bytes]:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Whole numbers, their first bytes together, then their second and so on: small ones compress to what they need."""
-    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+    """Whole numbers, their first bytes together, then their second and so on: small ones compress to what they need. The first byte says how many there are of each."""
+    size = 4 if not len(values) or int(values.max()) < 1 << 32 else 8
+    return bytes([size]) + zstandard.compress(np.ascontiguousarray(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes(), 1)
 
 
 def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(8, -1).T).reshape(-1).view("<u8").astype(np.int64)
+    size = blob[0]
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob[1:]), np.uint8).reshape(size, -1).T).reshape(-1).view(f"<u{size}").astype(np.int64)
 
 
 def ids_of(words: list[bytes]) -> np.ndarray:
@@ -210,44 +212,92 @@ def opened(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-class Numbers(dict):
-    """A number for each word, the next free one for a word that has none yet."""
+#: Bytes of text whose words are found at a time, and the longest words that two numbers of eight bytes have whole.
+PIECE = 2 << 20
+WHOLE = 16
+SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_places(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(begin, end, first eight bytes, last eight bytes) of the words of a text, a piece at a time; what a short word lacks is zero."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and not SPACES[text[end]]:
+            end += 1
+        own = np.frombuffer(text, np.uint8, min(end, len(text)) - at, at)
+        space = np.concatenate(([True], SPACES[own], [True]))
+        begin, stop = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+        # the eight bytes from any place on, as one number
+        wide = np.ndarray(len(own) + 1, ">u8", np.concatenate((own, np.zeros(8, np.uint8))), strides=(1,))
+        n = np.minimum(stop - begin, 8).astype(np.uint64)
+        shift = (np.uint64(8) - n) * np.uint64(8)
+        first, last = wide[begin].astype(np.uint64), wide[np.maximum(stop - 8, begin)].astype(np.uint64)
+        yield begin + at, stop + at, (first >> shift) << shift, last * (n == 8)
+        at = end
+
+
+def mixed(first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (first ^ (first >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + (last ^ (last >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(29))
+
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def numbered(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, number of each word of the text, where it begins); the order of words depends on nothing but which there are.
+
+    Words are sorted by a hash of their first and last eight bytes and their length, or of all bytes of long ones, and all words of one hash are compared with one of them;
+    if ever two words had one hash, the text would be numbered by a dictionary.
+    """
+    begin, stop, first, last = ([np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.uint64)] * 2) if not text.strip() else [np.concatenate(c) for c in zip(*word_places(text))]
+    hashes = mixed(first, last, stop - begin)
+    long = np.flatnonzero(stop - begin > WHOLE)
+    kept = [text[b:e] for b, e in zip(begin[long].tolist(), stop[long].tolist())]
+    hashes[long] = np.array([xxhash.xxh3_64_intdigest(w) for w in kept], np.uint64)
+    different, number = np.unique(hashes, return_inverse=True)
+    one = np.zeros(len(different), np.int64)
+    one[number] = np.arange(len(number))
+    same = one[number]
+    clash = ((first != first[same]) | (last != last[same]) | (stop - begin != (stop - begin)[same])).any()
+    seen: dict[int, bytes] = {}
+    if clash or any(seen.setdefault(n, w) != w for n, w in zip(number[long].tolist(), kept)):
+        every = [text[b:e] for b, e in zip(begin.tolist(), stop.tolist())]
+        words = sorted(set(every))
+        place = {w: i for i, w in enumerate(words)}
+        return words, np.array([place[w] for w in every], np.int64), begin
+    return [text[b:e] for b, e in zip(begin[one].tolist(), stop[one].tolist())], number, begin
 
 
 class Bucket:
     """The words of a bucket's texts and their pairs, in an order that depends on what the bucket holds and on nothing else."""
 
     def __init__(self, blobs: list[bytes], shards: int, hot: np.ndarray):
-        docs, number = [], Numbers({b"": 0})
-        codes, sizes, learn = [], [], []
-        for blob in blobs:
-            held = opened(blob)
-            docs.append(held.column("doc_id"))
-            for learnt, text in zip(held.column("learn").to_pylist(), held.column("text").to_pylist()):
-                own = tokens(text)
-                codes.append(np.array([*map(number.__getitem__, own), 0], np.int32))
-                sizes.append(len(own) + 1)
-                learn.append(learnt)
-        self.docs, self.sizes = docs, np.array(sizes, np.int64)
-        words = list(number)
-        order = sorted(range(len(words)), key=words.__getitem__)
-        rank = np.empty(len(words), np.int64)
-        rank[order] = np.arange(len(words))
-        self.words = [words[i] for i in order]
-        self.tokens = rank[np.concatenate(codes)].astype(np.int32)
-        del codes, number
-        learn = np.repeat(np.array(learn, bool), self.sizes)
-        self.counts = np.bincount(self.tokens[learn], minlength=len(words))
+        held = [opened(b) for b in blobs]
+        self.docs = [h.column("doc_id") for h in held]
+        texts = [t or b"" for h in held for t in h.column("text").cast(pa.large_binary()).to_pylist()]
+        learn = np.array([x for h in held for x in h.column("learn").to_pylist()], bool)
+        del held
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        words, number, begin = numbered(b" ".join(texts).lower())
+        n_docs, end = len(texts), len(words)
+        del texts
+        self.words = [*words, b""]
+        doc = np.searchsorted(starts, begin, "right") - 1
+        self.sizes = np.bincount(doc, minlength=n_docs)[:n_docs] + 1
         # every text ends with the empty word, which is also what stands before the first word of one
-        before = np.concatenate((rank[:1], self.tokens[:-1].astype(np.int64)))
-        pairs, pair_of = np.unique(before * len(words) + self.tokens, return_inverse=True)
+        self.tokens = np.full(len(number) + n_docs, end, np.int32)
+        self.tokens[np.arange(len(number)) + doc] = number
+        del number, begin, doc
+        wide = len(self.words)
+        learn = np.repeat(learn, self.sizes)
+        self.counts = np.bincount(self.tokens[learn], minlength=wide)
+        before = np.concatenate(([end], self.tokens[:-1].astype(np.int64)))
+        pairs, pair_of = np.unique(before * wide + self.tokens, return_inverse=True)
         self.pair_of = pair_of.astype(np.int32)
         del before, pair_of
-        self.before, self.after = pairs // len(words), pairs % len(words)
+        self.before, self.after = pairs // wide, pairs % wide
         self.pair_counts = np.bincount(self.pair_of[learn], minlength=len(pairs))
         self.ids = ids_of(self.words)
         self.word_shard = spread(self.ids, 0, shards)
