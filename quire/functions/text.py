@@ -135,7 +135,8 @@ def name_unescape(name: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^#[0-9A-Fa-f]{2}$"), F.decode(F.unhex(F.substring(p, 2, 2)), "ISO-8859-1")).otherwise(p)), "")
 
 
-MARKS = re.compile(r"\*\*\*(.+?)\*\*\*|\*\*(.+?)\*\*|__(.+?)__|~~(.+?)~~|\*(.+?)\*|_(.+?)_", re.S)
+#: A mark opens and closes; the longer ones are tried first.
+MARKS = re.compile("|".join(f"{re.escape(mark)}(.+?){re.escape(mark)}" for mark in ("***", "**", "__", "~~", "*", "_")), re.S)
 SEGMENT = StructType([StructField("text", StringType()), StructField("bold", BooleanType()), StructField("italic", BooleanType()), StructField("strike", BooleanType())])
 
 
