@@ -6,9 +6,11 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import codecs
 from quire.plans import catalogue
+from quire.sources import documents as pdf
 
 #: Empty and very short texts (in the four kinds of protected files), and ones whose bytes the syntax escapes.
 TEXTS = ["", "", "", "", "a", ".", "A.", "\n", "(", "\\", ")(", " ", "é", "ÿ", "•", "😀".encode("utf-16", "surrogatepass").decode("utf-16"), "x" * 600, "(\\\r\n" * 40]
@@ -34,3 +36,13 @@ def same_as_sql(spark, folder: str, name: str) -> None:
 def test_flate_of_empty_texts(spark, odd):
     assert codecs.flate_encode(b"") == bytes.fromhex("789c030000000001") and codecs.flate_decode(codecs.flate_encode(b"")) == b""
     same_as_sql(spark, odd, "q36_flate")
+
+
+def test_protected_files_of_short_texts(spark, odd):
+    same_as_sql(spark, odd, "q60_protected_files")
+
+
+def test_texts_of_plain_files_are_not_hidden(spark, odd):
+    rows = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text")
+    plain = pdf.write(rows).join(rows, "doc_id").select(catalogue.is_hidden(F.col("content"), F.col("text")).alias("hidden"))
+    assert [r.hidden for r in plain.collect()] == [False] * len(TEXTS)
