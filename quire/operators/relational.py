@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.shared import shared_folder, sums_before
+from quire.operators.shared import discard, sums_before, written
 
 
 def islands(rows: DataFrame, number: str, part: list[str] = ()) -> DataFrame:
@@ -63,31 +63,32 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, node) of everything that the roots reach over (doc_id, source, target), the roots too.
 
     One join a step, over the nodes found last, until a step finds none; so cycles end, and the steps are as many
-    as the longest shortest path. What was found is written to the checkpoint folder at each step.
+    as the longest shortest path. The edges and what each step finds are written to the shared folder: a checkpoint would keep its
+    few partitions, and all edges would be shuffled into those.
     """
-    shared_folder(edges.sparkSession)
-    links = edges.select("doc_id", F.col("source").alias("node"), "target").distinct()
-    known = fresh = roots.select("doc_id", "node").distinct().checkpoint()
+    links = written(edges.select("doc_id", F.col("source").alias("node"), "target").distinct())
+    known = fresh = written(roots.select("doc_id", "node").distinct())
     while not fresh.isEmpty():
-        found = fresh.join(links, ["doc_id", "node"]).select("doc_id", F.col("target").alias("node")).distinct()
-        fresh = found.join(known, ["doc_id", "node"], "left_anti").checkpoint()
+        found = links.join(fresh, ["doc_id", "node"]).select("doc_id", F.col("target").alias("node")).distinct()
+        fresh = written(found.join(known, ["doc_id", "node"], "left_anti"))
         known = known.unionByName(fresh)  # of what each step wrote
+    discard(links)
     return known
 
 
 def tree_paths(nodes: DataFrame) -> DataFrame:
     """Nodes (doc_id, node, parent, name) with depth and dotted path from their root, whose parent is null.
 
-    One join a level, until a level has no node; a cycle has no root and so isn't reached. Every level is written to the checkpoint folder.
+    One join a level, until a level has no node; a cycle has no root and so isn't reached. Children and levels are written to the shared folder (see ``closure``).
     """
-    shared_folder(nodes.sparkSession)
-    children = nodes.filter("parent IS NOT NULL").select("doc_id", F.col("node").alias("_node"), "parent", F.col("name").alias("_name"))
-    level = nodes.filter("parent IS NULL").select("doc_id", "node", F.lit(0).alias("depth"), F.col("name").cast("string").alias("path")).checkpoint()
+    children = written(nodes.filter("parent IS NOT NULL").select("doc_id", F.col("node").alias("_node"), "parent", F.col("name").cast("string").alias("_name")))
+    level = written(nodes.filter("parent IS NULL").select("doc_id", "node", F.lit(0).alias("depth"), F.col("name").cast("string").alias("path")))
     found = level
     while not level.isEmpty():
-        below = level.withColumnRenamed("node", "parent").join(children, ["doc_id", "parent"])
-        level = below.select("doc_id", F.col("_node").alias("node"), F.col("depth") + 1, F.concat("path", F.lit("."), "_name").alias("path")).toDF("doc_id", "node", "depth", "path").checkpoint()
+        below = children.join(level.withColumnRenamed("node", "parent"), ["doc_id", "parent"])
+        level = written(below.select("doc_id", F.col("_node").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("."), "_name").alias("path")))
         found = found.unionByName(level)
+    discard(children)
     return found
 
 
@@ -195,20 +196,25 @@ def sessions(events: DataFrame, keys: list[str], at: str, tie: str, gap: str) ->
 def resolved(values: DataFrame, objects: DataFrame, most: int = 32) -> DataFrame:
     """``values`` (doc_id, node, ref) with the object that the reference leads to, over references to references; null where it leads nowhere or round in a circle.
 
-    ``objects`` has (doc_id, obj_no, ref): ref is null for an object that is a value itself. One join a step, for what isn't settled yet.
+    ``objects`` has (doc_id, obj_no, ref): ref is null for an object that is a value itself. One step for what isn't settled yet: the
+    objects that its references name are looked up once each. Objects and steps are written to the shared folder (see ``closure``), so
+    objects are made once, and their size decides whether they are shuffled or what is looked up goes to where they lie.
     """
-    shared_folder(values.sparkSession)
-    steps = objects.select("doc_id", F.col("obj_no").alias("_no"), F.col("ref").alias("_next"))
-    open_ = values.withColumn("_at", F.col("ref")).checkpoint()
+    kind = objects.schema["obj_no"].dataType
+    steps = written(objects.select("doc_id", F.col("obj_no").alias("_no"), F.col("ref").cast(kind).alias("_next")))
+    open_ = written(values.withColumn("_at", F.col("ref").cast(kind)))
     done = None
     for _ in range(most):
-        there = open_.join(steps, (open_["doc_id"] == steps["doc_id"]) & (open_["_at"] == steps["_no"]), "left").drop(steps["doc_id"])
+        found = steps.join(open_.select("doc_id", F.col("_at").alias("_no")).distinct(), ["doc_id", "_no"], "left_semi")
+        there = written(open_.join(found, (open_["doc_id"] == found["doc_id"]) & (open_["_at"] == found["_no"]), "left").drop(found["doc_id"]))
         ended = there.filter("_next IS NULL").select(*values.columns, F.col("_no").alias("target"))
         done = ended if done is None else done.unionByName(ended)
-        open_ = there.filter("_next IS NOT NULL").select(*values.columns, F.col("_next").alias("_at")).checkpoint()
+        open_ = there.filter("_next IS NOT NULL").select(*values.columns, F.col("_next").alias("_at"))
         if open_.isEmpty():
+            discard(steps)
             return done
-    return done.unionByName(open_.select(*values.columns, F.lit(None).cast(objects.schema["obj_no"].dataType).alias("target")))
+    discard(steps)
+    return done.unionByName(open_.select(*values.columns, F.lit(None).cast(kind).alias("target")))
 
 
 def separators(kinds: Column, before: Column) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import codecs
+from quire.operators import relational
 from quire.plans import catalogue
 from quire.sources import documents as pdf
 
@@ -46,3 +47,23 @@ def test_texts_of_plain_files_are_not_hidden(spark, odd):
     rows = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text")
     plain = pdf.write(rows).join(rows, "doc_id").select(catalogue.is_hidden(F.col("content"), F.col("text")).alias("hidden"))
     assert [r.hidden for r in plain.collect()] == [False] * len(TEXTS)
+
+
+def test_steps_over_references_make_their_objects_once(spark):
+    """A chain of references is looked up step by step, but what it leads through is computed once and not once a step."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(i: int) -> tuple:
+        made.add(1)
+        return 0, i, i + 1 if i < 8 else None
+
+    schema = "doc_id int, obj_no int, ref int"
+    links = spark.createDataFrame(spark.sparkContext.range(1, 101, numSlices=2).map(counted), schema)
+    values = spark.createDataFrame([(0, "a", 1), (0, "b", 9), (0, "c", 200), (0, "d", None)], "doc_id int, node string, ref int")
+    assert {r.node: r.target for r in relational.resolved(values, links).collect()} == {"a": 8, "b": 9, "c": None, "d": None} and made.value == 100
+    made.value = 0
+    edges = links.select("doc_id", F.col("obj_no").alias("source"), F.col("ref").alias("target")).filter("target IS NOT NULL")
+    assert {r.node for r in relational.closure(edges, spark.createDataFrame([(0, 3)], "doc_id int, node int")).collect()} == {*range(3, 9)} and made.value == 100
+    made.value = 0
+    nodes = links.filter("obj_no <= 8").select("doc_id", F.col("obj_no").alias("node"), F.when(F.col("obj_no") > 1, F.col("obj_no") - 1).alias("parent"), F.lit("n").alias("name"))
+    assert {r.path: r.depth for r in relational.tree_paths(nodes).collect()} == {".".join("n" * (i + 1)): i for i in range(8)} and made.value <= 200
