@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import codecs, crypto, flags, formats, glyphs, text
 from quire.operators import forms, layout, mutations, relational, signatures
+from quire.operators.shared import small_batches
 from quire.sources import documents as pdf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,7 @@ def query(sql: str | None = None):
 
     def register(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
             return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         QUERIES[build.__name__] = run

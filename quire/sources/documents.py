@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quire.operators.shared import sliced, small_batches
 from quire.sources import syntax
 
 
@@ -24,12 +25,13 @@ def parsed(documents: DataFrame, schema: str, work, password: str = "") -> DataF
 
     A file's own ``password`` column, if there is one, opens it; else the one given.
     """
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
     fields = documents.sparkSession.createDataFrame([], f"doc_id {kind}, {schema}")
     arrow = fields.limit(0).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for doc_id, content, secret in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content", "password"))):
                 try:
@@ -48,10 +50,11 @@ def with_password(documents: DataFrame, password: str) -> DataFrame:
 
 def errors(documents: DataFrame, password: str = "") -> DataFrame:
     """(doc_id, error) of the files that can't be read."""
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, said = [], []
             for i, (content, secret) in enumerate(zip(batch.column("content").to_pylist(), batch.column("password").to_pylist())):
                 try:
@@ -142,10 +145,11 @@ def revisions(documents: DataFrame, password: str = "") -> DataFrame:
 
 def tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, pos, offset, type, length) of every token."""
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for i, content in enumerate(batch.column("content").to_pylist()):
                 found = [(n, t.at, t.kind, len(t.data)) for n, t in enumerate(syntax.tokens(content or b""))]
                 cols = list(zip(*found)) or [[]] * 4
@@ -309,10 +313,11 @@ def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vers
     ``version`` 1, 2, 4 or 5: encrypted with the passwords of user and owner. ``compressed``: with object streams and an index stream.
     """
     protect = {"version": version, "user": password.encode(), "owner": None if owner is None else owner.encode(), "permission": permission, "revision": revision} if version else None
+    small_batches(texts.sparkSession)
     kind = dict(texts.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for n, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 shown = syntax.dump(b"\xfe\xff" + (text or "").encode("utf-16-be"))
@@ -325,11 +330,12 @@ def write(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", vers
 
 def write_pages(pages: DataFrame) -> DataFrame:
     """(doc_id, content): a file of each document's pages (doc_id, page_no, text, width, height, rotate), in order of their numbers, in a tree of up to ten a branch."""
+    small_batches(pages.sparkSession)
     kind = dict(pages.dtypes)["doc_id"]
     held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.col("rotate").cast("long").alias("rotate")))).alias("pages"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = []
             for own in batch.column("pages").to_pylist():
                 branches = [own[i : i + 10] for i in range(0, len(own), 10)]

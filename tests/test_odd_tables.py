@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import codecs
 from quire.operators import relational
+from quire.operators.shared import sliced
 from quire.plans import catalogue
 from quire.sources import documents as pdf
 
@@ -67,3 +68,19 @@ def test_steps_over_references_make_their_objects_once(spark):
     made.value = 0
     nodes = links.filter("obj_no <= 8").select("doc_id", F.col("obj_no").alias("node"), F.when(F.col("obj_no") > 1, F.col("obj_no") - 1).alias("parent"), F.lit("n").alias("name"))
     assert {r.path: r.depth for r in relational.tree_paths(nodes).collect()} == {".".join("n" * (i + 1)): i for i in range(8)} and made.value <= 200
+
+
+def test_batches_for_python_are_small(spark):
+    """By rows and by bytes, whatever the texts' lengths; and little of a batch is unpacked at a time."""
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 20_000).alias("text"))
+    pdf.write(rows, "id")  # any step of the document engine, or query, sets them
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    seen = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in seen) == 3000 and max(r.rows for r in seen) <= 1000 and max(r.bytes for r in seen) < 8 << 20
+    batch = pa.RecordBatch.from_pydict({"text": ["y" * 20_000] * 300})
+    pieces = [*sliced(iter([batch]))]
+    assert sum(p.num_rows for p in pieces) == 300 and max(p.num_rows for p in pieces) <= 60
