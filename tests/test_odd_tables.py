@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import codecs
+from quire.functions import codecs, crypto, text
 from quire.operators import relational
 from quire.operators.shared import sliced
 from quire.plans import catalogue
@@ -84,3 +84,11 @@ def test_batches_for_python_are_small(spark):
     batch = pa.RecordBatch.from_pydict({"text": ["y" * 20_000] * 300})
     pieces = [*sliced(iter([batch]))]
     assert sum(p.num_rows for p in pieces) == 300 and max(p.num_rows for p in pieces) <= 60
+
+
+def test_random_bytes_take_one_key_a_row(spark):
+    rows = spark.range(2000).select(crypto.random_bytes(400).alias("a"), crypto.random_bytes(5).alias("b"), crypto.random_bytes(400, 7).alias("c"), crypto.random_bytes(400, 7).alias("d"))
+    made = rows.collect()
+    assert {(len(r.a), len(r.b), len(r.c)) for r in made} == {(400, 5, 400)} and all(r.c == r.d for r in made)
+    assert len({r.a for r in made}) == len({r.c for r in made}) == 2000 and len({r.a[16 * i : 16 * i + 16] for r in made for i in range(25)}) == 50_000
+    assert rows.select("a")._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
