@@ -85,15 +85,24 @@ def unescape_string(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else unescape_bytes(bytes(b)))
 
 
+#: A character that the document encoding lacks. The short class is asked first, of every character, and the long one only of the few that it leaves.
+LACKING = "[^\\x00-\\x7F\\u00A0-\\u00FF](?<![" + DOC_ENCODING + "])"
+
+
+def only_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def needs_unicode(text: Column) -> Column:
     """Whether a text has a character that the document encoding lacks."""
-    return text.rlike("[^\\x00-\\x7F\\u00A0-\\u00FF" + DOC_ENCODING + "]")
+    return ~only_ascii(text) & text.rlike(LACKING)
 
 
 def doc_encode(text: Column) -> Column:
-    """Document encoding; characters it lacks become ``?``."""
-    known = F.regexp_replace(text, "[^\\x00-\\x7F\\u00A0-\\u00FF" + DOC_ENCODING + "]", "?")
-    return F.encode(F.translate(known, DOC_ENCODING, DOC_CODES), "ISO-8859-1")
+    """Document encoding; characters it lacks become ``?``. Only texts that have such characters, or others outside of Latin-1, are gone through character by character."""
+    known = F.translate(F.regexp_replace(text, LACKING, "?"), DOC_ENCODING, DOC_CODES)
+    plain = only_ascii(text) | ~text.rlike("[^\\x00-\\x7F\\u00A0-\\u00FF]")
+    return F.encode(F.when(plain, text).otherwise(known), "ISO-8859-1")
 
 
 def doc_decode(data: Column) -> Column:

@@ -92,3 +92,15 @@ def test_random_bytes_take_one_key_a_row(spark):
     assert {(len(r.a), len(r.b), len(r.c)) for r in made} == {(400, 5, 400)} and all(r.c == r.d for r in made)
     assert len({r.a for r in made}) == len({r.c for r in made}) == 2000 and len({r.a[16 * i : 16 * i + 16] for r in made for i in range(25)}) == 50_000
     assert rows.select("a")._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
+def test_document_encoding_asks_texts_first(spark):
+    """Equal to the encoding character by character; the long class and the translation are only for texts that need them."""
+    texts = [None, "", "plain", "é" * 9, "a•€b", "\x80\x9f", "x😀y\n", "“é”", "日本", "ÿ\xa0\x7f"]
+    code = {c: 0x80 + i for i, c in enumerate(text.DOC_ENCODING)}
+    known = lambda c: code.get(c, ord(c) if ord(c) < 0x80 or 0xA0 <= ord(c) <= 0xFF else None)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.needs_unicode(F.col("t")).alias("u"), text.doc_encode(F.col("t")).alias("e"))
+    for r in rows.collect():
+        assert (r.u, r.e) == ((None, None) if r.t is None else (None in [known(c) for c in r.t], bytes(known(c) if known(c) is not None else 63 for c in r.t)))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan and "octet_length" in plan
